@@ -247,7 +247,8 @@ def judge(
     readings), and the rounds repeat until none is new. Over the then final ellipsoid, a
     reading outside is a spike if it departs from the level by at least ``times`` the
     standard deviation of the series' ordinary readings (noise and own variation)
-    and no more than ``longest`` consecutive readings do. If more than ``usual_share``
+    and no more than ``longest`` consecutive readings stay off by half as much on the
+    same side. If more than ``usual_share``
     of a series (and more than 3 readings) departs, that counts as its own variation.
     Series of fewer than 4 ordinary readings have no spikes.
     impossible: flux below minus ``below`` times both error and spread.
@@ -304,12 +305,16 @@ def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, us
         at = at[busy[sub.id]]
     ok = plain & ~outside
     # Ordinary readings: take back what lies within reach of noise and own variation.
+    sd_r = None
     for _ in range(8):
         level = level_of(s, flux, ok)
         res = flux - level
         m = s.sum(ok.astype(float))
         mean_r = s.sum(np.where(ok, res, 0)) / np.maximum(m, 1)
-        sd_r = np.sqrt(s.sum(np.where(ok, (res - mean_r[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
+        if sd_r is None:  # robust at first: short changes must not hide what they resemble
+            sd_r = 1.4826 * s.median(np.abs(res - s.median(res, ok)[s.id]), ok)
+        else:
+            sd_r = np.sqrt(s.sum(np.where(ok, (res - mean_r[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
         back = plain & (np.abs(res) < 6 * sd_r[s.id])
         if (back == ok).all():
             break
@@ -329,7 +334,9 @@ def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, us
     spread = np.where(own, spread_of(ok | far & own), spread)
     far &= np.abs(flux - level) >= times * spread
     far &= _outside_ellipsoid(s, flux, ok, level)
-    spike = far & (s.runs(far) <= longest)
+    # A departure lasts as long as readings stay off on the same side by half as much.
+    side = np.where(np.abs(flux - level) >= times / 2 * spread, np.sign(flux - level), 0.0)
+    spike = far & (s.runs(side) <= longest)
     return spike, still, level, spread
 
 
