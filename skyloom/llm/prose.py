@@ -9,6 +9,7 @@ document gets its squared Mahalanobis distance with the part every statistic has
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -67,7 +68,6 @@ def _patterns():
         "markup": r(r"</?[A-Za-z][^<>]{0,200}>|&[A-Za-z]{2,8};|&#\d{1,6};"),
         "pieces": r(r"[\n\r\u2028\u2029\u0085|│;\t]+|(?<=[.!?。！？…])\s+|(?<=[。！？])|\s{3,}"),
         "slashed": r(r"\S*/\S*"),
-        "solid": r(r"\S"),
         "digit": r(r"\p{Nd}"),
         "symbol": r(r"[^\s\p{L}\p{M}\p{N}.,!?'’\"“”…。、！？:;()\-]"),
         "ended": r(r"[.!?。！？…:][\s\"')\]»”’>*_~]*$"),
@@ -82,6 +82,11 @@ def _common():
     return ties, {k: ties[k] | frozenset(PHRASES[k].split()) for k in ties}
 
 
+def _solid(text: str) -> int:
+    """How many characters aren't blank."""
+    return sum(map(len, text.split()))
+
+
 def declared(lang: str | None) -> str:
     """The language a label means: its first two letters in any case; ``und`` if unknown."""
     code = {"jp": "ja"}.get((lang or "").strip().lower()[:2], (lang or "").strip().lower()[:2])
@@ -104,9 +109,9 @@ def statistics(text: str | None, lang: str | None = None) -> tuple:
     if not text or not text.strip():
         return ("und" if lang is None else declared(lang), len(text or ""), 0, 0, *[0.0] * len(STATISTICS))
     s = p["markup"].sub("\n", text)
-    words = [w.lower() for w in p["word"].findall(s)]
+    words = p["word"].findall(s.lower())
     letters, n = sum(map(len, words)), len(words)
-    han = len(p["han"].findall(s))
+    han = 0 if s.isascii() else len(p["han"].findall(s))
     pieces = [x for x in p["pieces"].split(s) if x and not x.isspace()]
     good = total = 0
     ties, common = _common()
@@ -122,8 +127,9 @@ def statistics(text: str | None, lang: str | None = None) -> tuple:
                 good += size
     else:
         n_words = n
-        met = {k: sum(w in v for w in words) for k, v in common.items()}
-        language = max(met, key=lambda k: (met[k], sum(w in ties[k] for w in words)))
+        times = Counter(words)
+        met = {k: sum(times[w] for w in v & times.keys()) for k, v in common.items()}
+        language = max(met, key=lambda k: (met[k], sum(times[w] for w in ties[k] & times.keys())))
         share = met[language] / max(n, 1)
         if not met[language]:
             language = declared(lang)
@@ -131,14 +137,14 @@ def statistics(text: str | None, lang: str | None = None) -> tuple:
         for x in pieces:
             size = len(x.strip())
             total += size
-            w = [y.lower() for y in p["word"].findall(p["slashed"].sub(" ", x))]
+            w = p["word"].findall((p["slashed"].sub(" ", x) if "/" in x else x).lower())
             if len(w) < 4:
                 continue
             k = sum(y in t for y in w)
             enough = k >= 0.1 * len(w) or len(w) >= 7 and sum(y in c for y in w) >= 0.15 * len(w)
-            if k and enough and sum(map(len, w)) >= 0.6 * len(p["solid"].findall(x)):
+            if k and enough and sum(map(len, w)) >= 0.6 * _solid(x):
                 good += size
-    solid = max(len(p["solid"].findall(s)), 1)
+    solid = max(_solid(s), 1)
     lines = [x for x in p["lines"].split(text) if x and not x.isspace()]
     return (
         language,
