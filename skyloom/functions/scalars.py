@@ -222,3 +222,14 @@ def inside_margin(x: Column, y: Column, nx: Column, ny: Column, aperture: Column
 
 def mjd_to_timestamp(mjd: Column) -> Column:
     return F.timestamp_micros(((mjd - 40587) * 86_400_000_000).cast("long"))
+
+
+def tangent_pixel(ra: Column, dec: Column, ra0: float, dec0: float, scale_arcsec: float, crpix: tuple[float, float]) -> tuple[Column, Column]:
+    """0-based pixel of a position in a plain gnomonic frame (x against right ascension);
+    null on the far half of the sphere."""
+    a, d, d0 = F.radians(ra - ra0), F.radians(dec), math.radians(dec0)
+    cos = F.sin(d) * math.sin(d0) + F.cos(d) * math.cos(d0) * F.cos(a)
+    xi = F.when(cos > 0, F.degrees(F.cos(d) * F.sin(a) / cos))
+    eta = F.when(cos > 0, F.degrees((F.sin(d) * math.cos(d0) - F.cos(d) * math.sin(d0) * F.cos(a)) / cos))
+    step = scale_arcsec / 3600
+    return xi / F.lit(-step) + (crpix[0] - 1), eta / F.lit(step) + (crpix[1] - 1)

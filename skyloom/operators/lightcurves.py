@@ -16,13 +16,29 @@ def usable(m: DataFrame) -> DataFrame:
     return m.where(S.finite(F.col("flux")) & (F.col("flux") > 0) & F.col("mag_ab").isNotNull() & ~F.isnan("mag_ab"))
 
 
-def light_curve(m: DataFrame) -> DataFrame:
-    """Derived columns and the place of each measurement in its source's time order.
+def time_order(m: DataFrame, keys: list[str], *, start: float = 61041.0, end: float = 61761.0, days: float = 30.0) -> DataFrame:
+    """``m`` with seq, each row's place in its group's order of mjd, obs_id and meas_id.
 
-    Ties of mjd are ordered by obs_id, band and meas_id; null mjd comes first.
+    Null mjd comes first, NaN last. A place is the number of rows in earlier stretches of
+    ``days`` plus the place within the stretch, so a group of any size is ordered in as
+    many tasks as it has stretches.
     """
-    order = Window.partitionBy("source_id", "band").orderBy("mjd", "obs_id", "meas_id")
-    return m.select(
+    slot = F.floor((F.least(F.greatest(F.coalesce(F.col("mjd"), F.lit(start - days)), F.lit(start - days)), F.lit(end)) - F.lit(start)) / F.lit(days)).cast("int")
+    part = m.withColumn("_slot", slot)
+    counts = part.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slot").alias("_ks"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("mjd", "obs_id", "meas_id"))
+    same = F.col("_slot") == F.col("_ks")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = part.withColumn("_r", within).join(before, same)
+    return placed.select(*m.columns, (F.col("_before") + F.col("_r")).alias("seq"))
+
+
+def light_curve(m: DataFrame) -> DataFrame:
+    """Derived columns and the place of each measurement in its source's and band's time order."""
+    return time_order(m, ["source_id", "band"]).select(
         "source_id",
         "obs_id",
         "band",
@@ -33,7 +49,7 @@ def light_curve(m: DataFrame) -> DataFrame:
         S.snr(F.col("flux"), F.col("flux_error")).alias("snr"),
         S.is_upper_limit(F.col("flux"), F.col("flux_error")).alias("is_upper_limit"),
         S.flag_binary(F.col("flag")).alias("flag_binary"),
-        F.row_number().over(order).alias("seq"),
+        "seq",
     )
 
 

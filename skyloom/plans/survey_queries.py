@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalars as S
@@ -486,3 +486,68 @@ def aperture_radius(spark, d):
     return lc(spark, d).where("bandwidth IS NOT NULL").select("meas_id", F.round(S.aperture_radius(F.col("bandwidth") * 300, scale), 9).alias("radius"))
 
 
+_COS = "(sin(radians(decl)) * sin(radians(66.0::double)) + cos(radians(decl)) * cos(radians(66.0::double)) * cos(radians(ra - 268.0::double)))"
+
+
+@query(f"""SELECT source_id, round(degrees(cos(radians(decl)) * sin(radians(ra - 268.0::double)) / {_COS}) / -(6.2::double / 3600) + 1019.5::double, 4) AS pix_x,
+  round(degrees((sin(radians(decl)) * cos(radians(66.0::double)) - cos(radians(decl)) * sin(radians(66.0::double)) * cos(radians(ra - 268.0::double))) / {_COS}) / (6.2::double / 3600) + 1019.5::double, 4) AS pix_y
+FROM sky_source WHERE {_COS} > 0.2""")
+def wcs_world_to_pixel(spark, d):
+    """Gnomonic pixel positions, of sources not too far from the frame's centre."""
+    s = A.sources(spark, d)
+    near = F.sin(F.radians("dec")) * math.sin(math.radians(66.0)) + F.cos(F.radians("dec")) * math.cos(math.radians(66.0)) * F.cos(F.radians(F.col("ra") - 268.0))
+    x, y = S.tangent_pixel(F.col("ra"), F.col("dec"), 268.0, 66.0, 6.2, (1020.5, 1020.5))
+    return s.where(near > 0.2).select("source_id", F.round(x, 4).alias("pix_x"), F.round(y, 4).alias("pix_y"))
+
+
+@query()
+def aperture_exact(spark, d):
+    """Aperture sums with exact circle-pixel overlaps."""
+    from skyloom.operators import apertures
+
+    @F.pandas_udf("double")
+    def weight(x, y):
+        import pandas as pd
+
+        return pd.Series(apertures.overlap(x - X0, y - Y0, 2.0))
+
+    px = A.pixels(spark, d).withColumn("w", weight("x", "y"))
+    return pixels.aperture_sum(px, X0, Y0, 2.0, F.col("w"))
+
+
+@query()
+def mef_photometry(spark, d):
+    """Every embedding as the sky of a complete image file with a star, measured by the kernel."""
+    import numpy as np
+
+    from skyloom.sources import fits, mef
+
+    def files(batches):
+        import pyarrow as pa
+
+        n, scale = 24, 6.2 / 3600
+        yy, xx = np.mgrid[0:n, 0:n]
+        star = np.exp(-((xx - 12) ** 2 + (yy - 11) ** 2) / 2)
+        pp = np.mgrid[0:21, 0:21] - 10
+        psf = np.exp(-(pp**2).sum(axis=0) / 18).astype("f4")[None]
+        for b in batches:
+            out = []
+            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sky = np.kron(np.asarray(v, float).reshape(8, 8), np.ones((3, 3))) * 0.05 + 1
+                head = {"EXTNAME": "IMAGE", "BUNIT": "MJy/sr", "OBSID": f"v{key}", "DETECTOR": key % 7, "MJD-BEG": 61000.0 + key, "MJD-END": 61000.1 + key, "CRPIX1": 13.0, "CRPIX2": 12.0, "CRVAL1": 150.0, "CRVAL2": 20.0, "CD1_1": -scale, "CD2_2": scale}
+                planes = [fits.Hdu(head, (sky + 20 * star).astype("f4")), *[fits.Hdu({"EXTNAME": k}, a) for k, a in (("FLAGS", np.zeros((n, n), "i4")), ("VARIANCE", np.full((n, n), 0.01, "f4")), ("ZODI", np.full((n, n), 0.3, "f4")))]]
+                out.append(fits.write([fits.Hdu(), *planes, fits.Hdu({"EXTNAME": "PSF", "OVERSAMP": 10, "XCTR_1": 12.0, "YCTR_1": 12.0}, psf), fits.Hdu({"EXTNAME": "NONE"})]))
+            yield pa.RecordBatch.from_arrays([pa.array([f"v{k}.fits" for k in b.column(0).to_pylist()]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    made = table(spark, d, "embeddings").select("vec_id", "embedding").repartition(8, "vec_id").mapInArrow(files, "path string, content binary")
+    star = spark.createDataFrame([(1, 150.0, 20.0)], "source_id bigint, ra double, dec double")
+    return mef.photometry(made, star, keep_problems=True)
+
+
+@query()
+def arrivals_by_day(spark, d):
+    """The streaming count of deliveries, over the whole table as a batch."""
+    from skyloom.streaming.landing import arrivals
+
+    return arrivals(lc(spark, d))
+
