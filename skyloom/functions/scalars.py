@@ -30,7 +30,9 @@ FLAG_BITS = {
 }
 BAD_FLAGS = (0, 1, 2, 6, 7, 9, 10, 11, 14, 15, 17, 19)
 BANDS = ("D1", "D2", "D3", "D4", "D5", "D6")
+# The archive's address and the prefix of its bandpass names.
 ARCHIVE = "https://irsa.ipac.caltech.edu/"
+BANDPASS = "SPHEREx-"
 FULL_IMAGE_MB, LEAST_IMAGE_MB, IMAGE_SIDE, PIXEL_ARCSEC = 71.6, 5.0, 2040, 6.2
 # MJy/sr to microjansky per square arcsecond.
 UJY_ARCSEC2 = 1e12 / (180 * 3600 / math.pi) ** 2

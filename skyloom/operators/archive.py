@@ -77,7 +77,7 @@ def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tup
     Rows whose publisher id has no observation id are dropped.
     """
     if bands:
-        plane = plane.where(F.col("energy_bandpassname").isin(*[f"SPHEREx-{b}" for b in bands]))
+        plane = plane.where(F.col("energy_bandpassname").isin(*[S.BANDPASS + b for b in bands]))
     hit = spatial_join(sources.select("source_id", "ra", "dec"), plane)
     lo, hi = F.col("time_bounds_lower"), F.col("time_bounds_upper")
     return (

@@ -41,28 +41,35 @@ def lines(files: DataFrame) -> DataFrame:
     """One row per non-blank line of ``payload``, blanks at its ends cut off."""
     return (
         files.select(F.explode(F.split("payload", r"\r\n|\n|\r")).alias("line"))
-        .select(F.regexp_replace("line", r"^[\s﻿]+|\s+$", "").alias("line"))
+        .select(F.regexp_replace("line", r"^[\s\uFEFF]+|\s+$", "").alias("line"))
         .where(F.length("line") > 0)
     )
 
 
+def _one_object(line: Column) -> Column:
+    """Is the text one braced object? JSON readers stop after the first and pass over the rest."""
+    t = F.regexp_replace(line, r'"(?:[^"\\]++|\\.)*+"', "")
+    for _ in range(6):  # levels of nesting
+        t = F.regexp_replace(t, r"(?<=.)\{[^{}]*+\}(?=.)", "")
+    return t.rlike(r"^\{[^{}]*+\}$")
+
+
 def records(files: DataFrame) -> DataFrame:
     """One row per complete line of ``files`` (column ``payload``), as a record.
 
     A complete line is one JSON object. Lines that break off, other text, and JSON
-    that isn't an object hold no record; a field of the wrong type makes the line
-    incomplete too. obs_id is trimmed and in upper case, band trimmed. Null payloads
+    that isn't an object hold no record. obs_id is trimmed and in upper case, band
+    trimmed; a number may be quoted, and is null if it can't be read as one. Null payloads
     and files without a line give nothing. Other columns of ``files`` are ignored.
     """
-    schema = T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])
-    r = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in RECORD.fields], T.StructField("_bad", T.StringType())])
+    r = F.from_json("line", text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return (
         lines(files)
         .where(F.col("line").startswith("{") & F.col("line").endswith("}"))
-        .select(r.alias("r"))
-        .where(F.col("r").isNotNull() & F.col("r._bad").isNull())
-        .select("r.*")
-        .drop("_bad")
+        .select(r.alias("r"), _one_object(F.col("line")).alias("whole"))
+        .where(F.col("r").isNotNull() & F.col("r._bad").isNull() & F.col("whole"))
+        .select(*[F.col(f"r.{f.name}").try_cast(f.dataType).alias(f.name) for f in RECORD.fields])
         .withColumn("obs_id", F.upper(F.trim("obs_id")))
         .withColumn("band", F.trim("band"))
         .withColumn("proc_version", proc_version(F.col("download_url")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.functions import scalars as S
 from skyloom.session import table
 
 
@@ -20,7 +21,7 @@ def planes(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("ivo://x/qr?"), F.col("o_orderkey").cast("string"), F.lit("_"), (F.col("o_custkey") % 4).cast("string"), F.lit("/D"), (F.col("o_custkey") % 6 + 1).cast("string")).alias("obs_publisher_did"),
         days.alias("time_bounds_lower"),
         (days + 0.0013).alias("time_bounds_upper"),
-        F.concat(F.lit("SPHEREx-D"), (F.col("o_custkey") % 6 + 1).cast("string")).alias("energy_bandpassname"),
+        F.concat(F.lit(S.BANDPASS + "D"), (F.col("o_custkey") % 6 + 1).cast("string")).alias("energy_bandpassname"),
         F.lit(0.75e-6).alias("energy_bounds_lower"),
         F.lit(5.0e-6).alias("energy_bounds_upper"),
         F.array(corner(ra, dec), corner(ra + 10, dec), corner(ra + 10, top), corner(ra, top)).alias("poly"),

@@ -51,7 +51,7 @@ SIG = "printf('%.8e', {})"
 _DAYS = "datediff('day', DATE '1858-11-17', o_orderdate::date)::double"
 _RA, _DEC = "((o_orderkey * 7) % 350)::double", "((o_orderkey * 13) % 170 - 85)::double"
 PLANE = f"""plane AS (SELECT o_orderkey AS planeid, 'ivo://x/qr?' || o_orderkey || '_' || (o_custkey % 4) || '/D' || (o_custkey % 6 + 1) AS did,
-  {_DAYS} AS t_lo, {_DAYS} + 0.0013::double AS t_hi, 'SPHEREx-D' || (o_custkey % 6 + 1) AS bandpass, {_RA} AS ra0, {_DEC} AS dec0, least({_DEC} + 10, 89.5::double) AS dec1 FROM orders)"""
+  {_DAYS} AS t_lo, {_DAYS} + 0.0013::double AS t_hi, '{S.BANDPASS}D' || (o_custkey % 6 + 1) AS bandpass, {_RA} AS ra0, {_DEC} AS dec0, least({_DEC} + 10, 89.5::double) AS dec1 FROM orders)"""
 
 
 def _vec(ra: str, dec: str) -> tuple[str, str, str]:
@@ -90,7 +90,7 @@ def _clip_sql(start: str, key: str, value: str, extra: str, rounds: int, sigma:
 @query(
     f"""WITH {PLANE} SELECT s.source_id, regexp_extract(p.did, '\\?([^/]+)', 1) AS obs_id, split_part(p.bandpass, '-', -1) AS band, (p.t_lo + p.t_hi) / 2 AS mjd,
   0.75e-6::double * 1e6::double AS wavelength_min, 5.0e-6::double * 1e6::double AS wavelength_max, '{S.ARCHIVE}' || 'ibe/data/' || l_partkey || '_' || l_suppkey || '.fits' AS download_url, p.t_lo AS t_min, p.t_hi AS t_max
-FROM sky_source s JOIN plane p ON {INSIDE} JOIN lineitem ON l_orderkey = p.planeid WHERE p.bandpass IN ('SPHEREx-D1', 'SPHEREx-D4')"""
+FROM sky_source s JOIN plane p ON {INSIDE} JOIN lineitem ON l_orderkey = p.planeid WHERE p.bandpass IN ('{S.BANDPASS}D1', '{S.BANDPASS}D4')"""
 )
 def obs_search(spark, d):
     return archive.search(A.sources(spark, d), A.artifacts(spark, d), A.planes(spark, d), ("D1", "D4"))

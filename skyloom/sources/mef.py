@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,12 @@ MEASUREMENT = T.StructType(
 )
 
 
+@lru_cache(maxsize=1024)
+def _fwhm(psf: bytes, shape: tuple[int, int]) -> float:
+    """FWHM by content: files of one detector have the same PSF cube."""
+    return apertures.fwhm(np.frombuffer(psf, np.float64).reshape(shape))
+
+
 @dataclass
 class Mef:
     """A decoded file; planes in microjanskys per square arcsecond once converted."""
@@ -84,7 +91,8 @@ class Mef:
         zone = self.zone_at(x, y)
         if zone is None or not 1 <= zone <= len(self.psf):
             return math.nan
-        return apertures.fwhm(np.asarray(self.psf[zone - 1], float)) * self.celestial.pixel_scale() / float(self.psf_header.get("OVERSAMP", 10))
+        psf = np.ascontiguousarray(self.psf[zone - 1], np.float64)
+        return _fwhm(psf.tobytes(), psf.shape) * self.celestial.pixel_scale() / float(self.psf_header.get("OVERSAMP", 10))
 
 
 def decode(raw: bytes, path: str = "", unit: str | None = "uJy/arcsec2") -> Mef:

@@ -2,6 +2,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from skyloom.functions import scalars as S
 from skyloom.plans.config import AdvancedConfig, DownloadConfig
 from skyloom.plans.pipeline import Pipeline, run_pipeline
 from skyloom.sources import curves, fetch, mef
@@ -20,7 +21,7 @@ def archive_dir(tmp_path_factory):
 def catalogue(spark, archive_dir):
     ra, dec = (float(v) for v in mef.decode(images.mef()).celestial.to_world(30.0, 29.0))
     box = [(ra - 1, dec - 1), (ra + 1, dec - 1), (ra + 1, dec + 1), (ra - 1, dec + 1)]
-    rows = [(i, f"ivo://x/q?o{i}/D3", 61000.0 + i, 61000.1 + i, "SPHEREx-D3", 1.6e-6, 2.4e-6, box) for i in range(4)]
+    rows = [(i, f"ivo://x/q?o{i}/D3", 61000.0 + i, 61000.1 + i, S.BANDPASS + "D3", 1.6e-6, 2.4e-6, box) for i in range(4)]
     plane = spark.createDataFrame(rows, "planeid long, obs_publisher_did string, time_bounds_lower double, time_bounds_upper double, energy_bandpassname string, energy_bounds_lower double, energy_bounds_upper double, poly array<struct<ra:double,dec:double>>")
     artifact = spark.createDataFrame([(i, f"o{i}.fits") for i in range(4)], "planeid long, uri string")
     return (ra, dec), lambda: (artifact, plane)
@@ -31,7 +32,7 @@ def test_whole_run_and_resume(spark, archive_dir, tmp_path):
     base = f"file://{archive_dir}/"
 
     def opener(url, cfg):
-        return fetch.open_url(url.replace("https://irsa.ipac.caltech.edu/", base), cfg)
+        return fetch.open_url(url.replace(S.ARCHIVE, base), cfg)
 
     cfg = AdvancedConfig.create(ra, dec, name="star", output_dir=tmp_path, max_retries=0, retry_delay=0)
     p = Pipeline(spark, cfg, cat, opener=opener)

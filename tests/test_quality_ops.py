@@ -255,7 +255,7 @@ def test_compaction(spark, tmp_path):
         "",
         "no json\n[1, 2]\n{}x\n",
         line("A3", pv="pv2") + "\r" + line("A3", pv="pv3"),
-        line("A4", mjd="text"),
+        line("A4", mjd="text") + "\n" + line("A5", mjd="2.5") + "\n" + line("A6") + line("A6"),
         line("A2")[:-1] + "\n" + json.dumps(dict(reversed(json.loads(line("A2")).items()))),
         *[line("HOT")] * 50,
     ]
@@ -265,8 +265,9 @@ def test_compaction(spark, tmp_path):
         done = compact.compact(files, at, target_bytes=target)
         out = spark.read.parquet(at)
         got = {(r["obs_id"], r["proc_version"]): r["n_lines"] for r in out.collect()}
-        assert got == {("A1", "pv1"): 2, ("A2", "pv1"): 2, ("A3", "pv2"): 1, ("A3", "pv3"): 1, ("HOT", "pv1"): 50}
-        assert done["lines"] == 56 and done["records"] == 5
+        assert got == {("A1", "pv1"): 2, ("A2", "pv1"): 2, ("A3", "pv2"): 1, ("A3", "pv3"): 1, ("A4", "pv1"): 1, ("A5", "pv1"): 1, ("HOT", "pv1"): 50}
+        assert done["lines"] == 58 and done["records"] == 7
+        assert {r["obs_id"]: r["mjd"] for r in out.collect()} == {"A1": 1.5, "A2": 1.5, "A3": 1.5, "A4": None, "A5": 2.5, "HOT": 1.5}
     assert len(list((tmp_path / "out").glob("*.parquet"))) > 1 and not list(tmp_path.glob("out.*"))
     assert sorted(map(tuple, compact.repeated(out).collect())) == [("A1", "D1", "pv1"), ("A2", "D1", "pv1"), ("HOT", "D1", "pv1")]
 
