@@ -32,6 +32,11 @@ def p1_by_load(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(percentiles.percentiles(percentiles.merge(daily, groups=["band"]), ["band"], ALPHA))
 
 
+def p1_levels(spark: SparkSession, d: str) -> DataFrame:
+    """``p1_percentiles`` to nine digits as text."""
+    return _rounded(p1_percentiles(spark, d)).drop("error_bound")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), "doc_id")
 
@@ -56,17 +61,29 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.score(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_load, p6_ids, p6_lengths, p7_packing, p7_containers, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_load, p1_levels, p6_ids, p6_lengths, p7_packing, p7_containers, p8_found, p8_statistics)}
 
 _G = (1 + ALPHA * (1 - 1e-9)) / (1 - ALPHA * (1 - 1e-9))
+
+
+def _level_sql(level: str, groups: list[str]) -> str:
+    """Percentiles of one level straight from the readings."""
+    g, all_ = ", ".join(groups), ("source_id", "band")
+    kinds = {"source_id": "bigint", "band": "varchar"}
+    out = ", ".join(c if c in groups else f"NULL::{kinds[c]} AS {c}" for c in all_)
+    at = percentiles.offset(ALPHA)
+    at_rank = ", ".join(f"min(b) FILTER (upto >= floor({q}::double * (total - 1)) + 1) AS {percentiles.name(q)}" for q in percentiles.QUANTILES)
+    value = "CASE WHEN {c} = 0 THEN 0 ELSE sign({c}) * exp((abs({c}) - {at}) * ln({g!r}::double) - ln((1 + {g!r}::double) / 2)) END"
+    values = ", ".join(f"printf('%.8e', {value.format(c=c, at=at, g=_G)}) AS {c}" for c in map(percentiles.name, percentiles.QUANTILES))
+    return f"""SELECT '{level}' AS level, {out}, quantity, n, {values} FROM (
+SELECT {g}, quantity, max(total)::bigint AS n, {at_rank} FROM (
+SELECT *, sum(n) OVER (PARTITION BY {g}, quantity) AS total, sum(n) OVER (PARTITION BY {g}, quantity ORDER BY b) AS upto FROM (
+SELECT {g}, quantity, CASE WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / ln({_G!r}::double)) + {at}) END AS b, count(*) AS n FROM (
+SELECT source_id, band, 'flux' AS quantity, flux AS x FROM lightcurve UNION ALL SELECT source_id, band, 'snr', snr FROM lightcurve)
+WHERE x IS NOT NULL AND isfinite(x) GROUP BY ALL)) GROUP BY ALL)"""
+
+
 SQL = {
-    "p1_by_load": f"""
-WITH v AS (SELECT band, 'flux' AS quantity, flux AS x FROM lightcurve UNION ALL SELECT band, 'snr', snr FROM lightcurve),
-k AS (SELECT band, quantity, CASE WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / ln({_G!r}::double)) + {percentiles.offset(ALPHA)}) END AS b
-      FROM v WHERE x IS NOT NULL AND isfinite(x)),
-c AS (SELECT band, quantity, b, count(*) AS n FROM k GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY band, quantity) AS total, sum(n) OVER (PARTITION BY band, quantity ORDER BY b) AS upto FROM c),
-p AS (SELECT band, quantity, max(total) AS n, {", ".join(f"min(b) FILTER (upto >= floor({q}::double * (total - 1)) + 1) AS {percentiles.name(q)}" for q in percentiles.QUANTILES)} FROM r GROUP BY ALL)
-SELECT band, quantity, n::bigint AS n, {", ".join(f"printf('%.8e', CASE WHEN {c} = 0 THEN 0 ELSE sign({c}) * exp((abs({c}) - {percentiles.offset(ALPHA)}) * ln({_G!r}::double) - ln((1 + {_G!r}::double) / 2)) END) AS {c}" for c in map(percentiles.name, percentiles.QUANTILES))}
-FROM p""",
+    "p1_by_load": f"SELECT * EXCLUDE (level, source_id) FROM ({_level_sql('band', ['band'])})",
+    "p1_levels": " UNION ALL ".join(_level_sql(k, g) for k, g in LEVELS.items()),
 }
