@@ -110,7 +110,7 @@ FOUND = "source_id bigint, obs_id string, band string, spike boolean, stuck bool
 def judged(series: DataFrame, at_once: int = 100_000, **how) -> DataFrame:
     """The readings of ``series`` (from ``in_blocks``) that ``judge`` finds."""
     cols = ["source_id", "band", "blk", "mjd", "obs_id", "flux", "flux_error", "core"]
-    ready = series.select(*cols).repartition("source_id", "band", "blk").sortWithinPartitions("source_id", "band", "blk", "mjd", "obs_id")
+    ready = series.select(*cols).repartition("source_id", "band", "blk").sortWithinPartitions("source_id", "band", "blk", "mjd", "obs_id", F.col("flux").asc_nulls_last(), F.col("flux_error").asc_nulls_last())
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -157,7 +157,7 @@ def _judge_table(t: pa.Table, how: dict):
     obs = t["obs_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     again = np.zeros(len(new), bool)
     again[1:] = (obs[1:] == obs[:-1]) & ~new[1:]
-    # Deliveries of one reading follow each other: they have one mjd. The first counts.
+    # Deliveries of one reading follow each other: they have one mjd. The smallest flux counts.
     keep = ~again
     seg = np.cumsum(new)[keep] - 1
     flux, err = (t[c].to_numpy(zero_copy_only=False)[keep] for c in ("flux", "flux_error"))

@@ -22,6 +22,11 @@ def p2_footers(spark: SparkSession, d: str) -> DataFrame:
     return profile.footer_profile(spark, table(spark, d, "lightcurve"), ["mag_ab", "flag", "wavelength", "snr"])
 
 
+def p2_footer_extrema(spark: SparkSession, d: str) -> DataFrame:
+    """What footers and, where they don't do, scans say of each load's columns."""
+    return p2_footers(spark, d).select("load_id", "column_name", "n_rows", "n_null", "min", "max")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "lightcurve")).select("source_id", "obs_id", "band")
 
@@ -34,6 +39,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return regrid.empty_periods(p4_grid(spark, d))
 
 
+def p4_flux(spark: SparkSession, d: str) -> DataFrame:
+    """The regression's values, to five digits as text."""
+    return p4_grid(spark, d).where("flux IS NOT NULL").select("source_id", "band", "period_no", F.format_string("%.4e", "flux").alias("flux"))
+
+
 def p4_support(spark: SparkSession, d: str) -> DataFrame:
     return p4_grid(spark, d).select("source_id", "band", "period_no", "n_readings", "period_mid", F.round("support", 6).alias("support"), "status")
 
@@ -53,7 +63,7 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return p5_compacted(spark, d).select("obs_id", "band", "proc_version", "n_lines", "mjd", "wavelength_min", "wavelength_max")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p3_found, p4_found, p4_grid, p4_support, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p2_footer_extrema, p3_found, p4_found, p4_grid, p4_flux, p4_support, p5_found, p5_records)}
 
 _COLUMN = """
 SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null,
@@ -94,6 +104,17 @@ SELECT g.source_id, g.band, g.p AS period_no, coalesce(n, 0) AS n_readings, 6104
 FROM grid g LEFT JOIN own o ON g.source_id IS NOT DISTINCT FROM o.source_id AND g.band = o.band AND g.p = o.p
 LEFT JOIN s ON g.source_id IS NOT DISTINCT FROM s.source_id AND g.band = s.band AND g.p = s.p""",
 }
+SQL["p2_footer_extrema"] = " UNION ALL ".join(
+    f"""SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null,
+min({c}::double) FILTER (NOT isnan({c}::double)) AS min, max({c}::double) FILTER (NOT isnan({c}::double)) AS max FROM lightcurve GROUP BY load_id"""
+    for c in ("mag_ab", "flag", "wavelength", "snr")
+)
+SQL["p4_flux"] = f"""WITH {_READINGS.replace("min(mjd) AS mjd FROM", "min(mjd) AS mjd, arg_min(flux, (mjd, flux)) AS flux FROM")},
+w AS (SELECT g.source_id, g.band, g.p, (mjd - 61041) / 10 - (g.p + 0.5::double) AS d, greatest(1 - pow(((mjd - 61041) / 10 - (g.p + 0.5::double)) / 2, 2), 0) AS w, flux
+      FROM r JOIN grid g ON g.source_id IS NOT DISTINCT FROM r.source_id AND g.band = r.band AND abs((mjd - 61041) / 10 - (g.p + 0.5::double)) <= 2),
+s AS (SELECT source_id, band, p, sum(w) AS s0, sum(w * w) AS q, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * flux) AS t0, sum(w * d * flux) AS t1 FROM w GROUP BY ALL)
+SELECT source_id, band, p AS period_no, printf('%.4e', CASE WHEN s0 * s2 - s1 * s1 > 1e-9::double * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END) AS flux
+FROM s LEFT JOIN own USING (source_id, band, p) WHERE s0 > 0 AND (n > 0 OR s0 * s0 / q >= 2)"""
 _RECORDS = r"""
 WITH l AS (SELECT trim(unnest(string_split_regex(payload, '\r\n|\n|\r')), E' \t\r\n') AS l FROM small_file),
 j AS (SELECT l::json AS j FROM l WHERE json_valid(l) AND l LIKE '{%}'),

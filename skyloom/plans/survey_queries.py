@@ -544,10 +544,10 @@ def mef_photometry(spark, d):
     return mef.photometry(made, star, keep_problems=True)
 
 
-@query()
+@query("SELECT strftime(loaded_at, '%Y-%m-%d') AS day, band, count(*) AS n FROM lightcurve GROUP BY ALL")
 def arrivals_by_day(spark, d):
     """The streaming count of deliveries, over the whole table as a batch."""
     from skyloom.streaming.landing import arrivals
 
-    return arrivals(lc(spark, d))
+    return arrivals(lc(spark, d)).select(F.date_format("since", "yyyy-MM-dd").alias("day"), "band", "n")
 

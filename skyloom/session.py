@@ -20,6 +20,9 @@ DEFAULTS = {
 }
 
 
+_RUNS: list[str] = []
+
+
 def build_session(app: str = "skyloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; ``conf`` overrides them."""
     b = SparkSession.builder.appName(app)
@@ -51,7 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder path for one run below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _RUNS.append(at)
+    return at
+
+
+def clear_runs(spark: SparkSession) -> int:
+    """Delete the folders made by ``run_dir`` so far; results that read them must be done with."""
+    n = 0
+    while _RUNS:
+        fs, path = hadoop(spark, _RUNS.pop())
+        n += fs.delete(path, True)
+    return n
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -294,3 +294,11 @@ def test_failed_reconciliation_leaves_the_target(spark, tmp_path, monkeypatch):
 def test_bounded_broadcast(spark):
     assert "hint" in bounded_broadcast(spark.range(5), 10)._jdf.queryExecution().toString().lower()
     assert "hint" not in bounded_broadcast(spark.range(50), 10)._jdf.queryExecution().toString().lower()
+
+
+def test_runs_can_be_cleared(spark):
+    from skyloom.session import checkpointed, clear_runs
+
+    clear_runs(spark)
+    kept = checkpointed(spark.range(3))
+    assert kept.count() == 3 and clear_runs(spark) == 1 and clear_runs(spark) == 0
