@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.session import hadoop
+from skyloom.session import checkpointed, hadoop
 
 RECORD = T.StructType(
     [
@@ -49,9 +49,11 @@ def lines(files: DataFrame) -> DataFrame:
 def _one_object(line: Column) -> Column:
     """Is the text one braced object? JSON readers stop after the first and pass over the rest."""
     t = F.regexp_replace(line, r'"(?:[^"\\]++|\\.)*+"', "")
+    flat = r"^\{[^{}]*+\}$"
+    inner = t
     for _ in range(6):  # levels of nesting
-        t = F.regexp_replace(t, r"(?<=.)\{[^{}]*+\}(?=.)", "")
-    return t.rlike(r"^\{[^{}]*+\}$")
+        inner = F.regexp_replace(inner, r"(?<=.)\{[^{}]*+\}(?=.)", "")
+    return F.when(t.rlike(flat), True).otherwise(inner.rlike(flat))
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def compact(files: DataFrame, target: str, *, target_bytes: int = 128 << 20, byt
     gives one empty file.
     """
     spark = files.sparkSession
-    recs = records(files)
+    recs = checkpointed(records(files))  # lines are parsed once
     n_lines = recs.count()
     n_files = max(1, -(-n_lines * bytes_per_record // target_bytes))
     staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
