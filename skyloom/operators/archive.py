@@ -40,8 +40,8 @@ def _cell(ra: Column, dec: Column, size: float) -> Column:
 
 def covering_cells(poly: Column, size: float) -> Column:
     """Cells of a ra/dec grid that a polygon can touch: its bounding box and the bulge of
-    its edges; all columns near the poles and for polygons wider than 160 degrees, which
-    includes those over right ascension 0 whose corners are given between 0 and 360."""
+    its edges; all cells for polygons wider than 160 degrees, which includes those around a
+    pole and those over right ascension 0 whose corners are given between 0 and 360."""
     ras, decs = F.transform(poly, lambda v: v["ra"]), F.transform(poly, lambda v: v["dec"])
     n, last = int(round(360 / size)), int(round(180 / size)) - 1
     west, east, south, north = F.array_min(ras), F.array_max(ras), F.array_min(decs), F.array_max(decs)
@@ -49,9 +49,10 @@ def covering_cells(poly: Column, size: float) -> Column:
     steep = F.greatest(F.abs(south), F.abs(north))
     # Great circles between corners bulge towards the pole, by at most this.
     bulge = F.degrees(F.atan(F.tan(F.radians(steep)) / F.cos(F.radians(half)))) - steep
-    polar = (steep > 80) | (half > 80)
-    lo = F.when(polar & ((south < -80) | (half > 80)), F.lit(0)).otherwise(F.greatest(F.floor((south - F.when(polar, F.lit(0.0)).otherwise(bulge) + 90) / size), F.lit(0)))
-    hi = F.when(polar & ((north > 80) | (half > 80)), F.lit(last)).otherwise(F.least(F.floor((north + F.when(polar, F.lit(0.0)).otherwise(bulge) + 90) / size), F.lit(last)))
+    # Corners within less than half a turn can't surround a pole, and edges stay between their meridians.
+    polar = half > 80
+    lo = F.when(polar, F.lit(0)).otherwise(F.greatest(F.floor((south - bulge + 90) / size), F.lit(0)))
+    hi = F.when(polar, F.lit(last)).otherwise(F.least(F.floor((north + bulge + 90) / size), F.lit(last)))
     a = F.when(polar, F.lit(0)).otherwise(F.floor(west / size))
     b = F.when(polar, F.lit(n - 1)).otherwise(F.floor(east / size))
     rows, cols = F.sequence(lo.cast("int"), hi.cast("int")), F.sequence(a.cast("int"), b.cast("int"))

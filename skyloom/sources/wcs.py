@@ -65,7 +65,7 @@ class Celestial:
         if self.a or self.b:
             for _ in range(50):
                 un, vn = f - _poly(self.a, u, v), g - _poly(self.b, u, v)
-                done = np.nanmax(np.hypot(un - u, vn - v), initial=0.0) < 1e-10
+                done = np.max(np.nan_to_num(np.hypot(un - u, vn - v)), initial=0.0) < 1e-10
                 u, v = un, vn
                 if done:
                     break
