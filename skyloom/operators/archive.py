@@ -21,8 +21,18 @@ def inside_polygon(ra: Column, dec: Column, poly: Column) -> Column:
     It is if it lies on the same side of the great circles through all edges, and on the
     polygon's half of the sphere; on an edge counts as inside. Null positions or polygons of under three corners give false.
     """
-    p = F.struct(*[c.alias(n) for c, n in zip(unit_vector(ra, dec), "xyz")])
-    corners = F.transform(poly, lambda v: F.struct(*[c.alias(n) for c, n in zip(unit_vector(v["ra"], v["dec"]), "xyz")]))
+    return _inside(_point(ra, dec), _corners(poly))
+
+
+def _point(ra: Column, dec: Column) -> Column:
+    return F.struct(*[c.alias(n) for c, n in zip(unit_vector(ra, dec), "xyz")])
+
+
+def _corners(poly: Column) -> Column:
+    return F.transform(poly, lambda v: _point(v["ra"], v["dec"]))
+
+
+def _inside(p: Column, corners: Column) -> Column:
     following = F.concat(F.slice(corners, 2, F.greatest(F.size(corners) - 1, F.lit(1))), F.slice(corners, 1, 1))
     side = F.zip_with(
         corners,
@@ -31,7 +41,7 @@ def inside_polygon(ra: Column, dec: Column, poly: Column) -> Column:
     )
     zero = F.lit(0.0)
     towards = F.aggregate(corners, zero, lambda acc, a: acc + a["x"] * p["x"] + a["y"] * p["y"] + a["z"] * p["z"])
-    return F.coalesce((F.size(poly) >= 3) & (towards > 0) & (F.forall(side, lambda s: s >= 0) | F.forall(side, lambda s: s <= 0)), F.lit(False))
+    return F.coalesce((F.size(corners) >= 3) & (towards > 0) & (F.forall(side, lambda s: s >= 0) | F.forall(side, lambda s: s <= 0)), F.lit(False))
 
 
 def _cell(ra: Column, dec: Column, size: float) -> Column:
@@ -67,9 +77,10 @@ def spatial_join(points: DataFrame, planes: DataFrame, *, ra: str = "ra", dec: s
     """
     if 360 % cell or 180 % cell:
         raise ValueError("cell must divide 180 and 360 degrees")
-    p = points.withColumn("_cell", _cell(F.col(ra), F.col(dec), cell))
-    q = planes.withColumn("_cell", F.explode(covering_cells(F.col(poly), cell)))
-    return p.join(q, "_cell").where(inside_polygon(F.col(ra), F.col(dec), F.col(poly))).drop("_cell")
+    # Unit vectors are computed once per row, not once per pair.
+    p = points.withColumn("_cell", _cell(F.col(ra), F.col(dec), cell)).withColumn("_point", _point(F.col(ra), F.col(dec)))
+    q = planes.withColumn("_corners", _corners(F.col(poly))).withColumn("_cell", F.explode(covering_cells(F.col(poly), cell)))
+    return p.join(q, "_cell").where(_inside(F.col("_point"), F.col("_corners"))).drop("_cell", "_point", "_corners")
 
 
 def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
