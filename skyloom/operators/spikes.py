@@ -3,8 +3,9 @@
 A series (source and band) is looked at in order of time, in numpy over many series
 at once. Series longer than ``block`` readings are cut into consecutive blocks of
 about that length, each with a margin of readings of its neighbours, so no task holds
-more than a block of any series however large the series is; level and spread are
-then those of the block.
+more than a block of any series however large the series is. Order, runs and running
+medians are the block's; usual error, thresholds of the ellipsoid, spread and the share
+that departs are those of the whole series (``whole_series``) and handed to its blocks.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.logbuckets import is_finite
+from skyloom.operators.selection import exact_quantiles
 from skyloom.session import bounded_broadcast, checkpointed
 
 BANDS = ("D1", "D2", "D3", "D4", "D5", "D6")
+KEYS = ["source_id", "band"]
 RESULT = "source_id bigint, obs_id string, band string, spike boolean, stuck boolean, error_spike boolean, level double, spread double"
 
 
@@ -42,7 +45,12 @@ def implausible(readings: DataFrame, *, start: float = 61041.0, end: float = 617
     inside = (m >= start) & (m < end)
     bad = (m.isNotNull() & ~inside) | (f.isNotNull() & ~is_finite(f)) | (e.isNotNull() & (~is_finite(e) | (e <= 0)))
     bounds = r.where(bad).select("source_id", "obs_id", "band", F.lit(True).alias("impossible"))
-    series = in_blocks(r.where(inside & (f.isNotNull() | e.isNotNull())), start, end, block, margin)
+    placed = r.where(inside & (f.isNotNull() | e.isNotNull()))
+    long = long_series(placed, block)
+    series = in_blocks(placed, start, end, block, margin, long=long)
+    if not long.isEmpty():
+        cut = checkpointed(series.join(bounded_broadcast(long), KEYS))
+        series = series.join(bounded_broadcast(whole_series(cut, **how)), KEYS, "left")
     found = judged(series, **how)
     # Only what was found is grouped: deliveries of a reading, and both kinds of finding.
     flags = ("spike", "stuck", "error_spike")
@@ -50,7 +58,12 @@ def implausible(readings: DataFrame, *, start: float = 61041.0, end: float = 617
     return both.groupBy("source_id", "obs_id", "band").agg(*[F.bool_or(c).alias(c) for c in (*flags, "impossible")])
 
 
-def in_blocks(r: DataFrame, start: float, end: float, block: int, margin: int, bins: int = 4096) -> DataFrame:
+def long_series(r: DataFrame, block: int) -> DataFrame:
+    """source_id and band of the series of more than ``block`` rows."""
+    return checkpointed(r.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(*KEYS))
+
+
+def in_blocks(r: DataFrame, start: float, end: float, block: int, margin: int, bins: int = 4096, long: DataFrame | None = None) -> DataFrame:
     """``r`` with columns ``blk`` and ``core``: blocks of long series by time.
 
     Series of at most ``block`` rows are block 0. The others, of which there can be no more
@@ -58,8 +71,8 @@ def in_blocks(r: DataFrame, start: float, end: float, block: int, margin: int, b
     ``margin`` rows of another block is repeated there with core false.
     """
     width = (end - start) / bins
-    keys = ["source_id", "band"]
-    long = checkpointed(r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(*keys))
+    keys = KEYS
+    long = long_series(r, block) if long is None else long
     if long.isEmpty():
         return r.withColumn("blk", F.lit(0)).withColumn("core", F.lit(True))
     hot = bounded_broadcast(long)
@@ -107,9 +120,68 @@ def _frame(rows):
 FOUND = "source_id bigint, obs_id string, band string, spike boolean, stuck boolean, error_spike boolean, impossible boolean, level double, spread double"
 
 
-def judged(series: DataFrame, at_once: int = 100_000, **how) -> DataFrame:
-    """The readings of ``series`` (from ``in_blocks``) that ``judge`` finds."""
-    cols = ["source_id", "band", "blk", "mjd", "obs_id", "flux", "flux_error", "core"]
+#: Figures of a whole series that ``judge`` takes instead of its own, in the order of the column ``given``.
+GIVEN = ("usual", "n", "median", "sd_r", "a_theta", "a_x", "a_d1", "a_z", "a_u", "spread", "own", "own_spread", "b_theta", "b_x", "b_d1", "b_z", "b_u")
+TRACE = "source_id bigint, band string, flux double, level double, ok boolean, plain boolean, u double, d1 double, d2 double"
+
+
+def whole_series(cut: DataFrame, *, times: float = 7.25, usual_share: float = 0.1, **how) -> DataFrame:
+    """source_id, band, given: the figures ``GIVEN`` of each series of ``cut``, the blocks of long series.
+
+    Three passes, each with the figures of those before: the usual error; with each
+    block's own ordinary readings the noise and the ellipsoid that leaves out candidates;
+    with the ordinary readings that follow from these the spread, the departing share and
+    the last ellipsoid. Counts, sums and medians are exact and of the whole series.
+    """
+    how = how | {"times": times, "usual_share": usual_share}
+    once = cut.where("core").groupBy(*KEYS, "obs_id").agg(F.min(F.struct("mjd", F.col("flux").isNull().alias("no_f"), "flux", F.col("flux_error").isNull().alias("no_e"), "flux_error")).alias("r"))
+    error = once.where("r.flux_error > 0").select(*KEYS, F.col("r.flux_error").alias("e"))
+    known = cut.select(*KEYS).distinct().join(exact_quantiles(error, KEYS, "e", {"usual": 0.5}).drop("n"), KEYS, "left")
+
+    def handed(g: DataFrame) -> DataFrame:
+        return g.select(*KEYS, F.array(*[(F.col(c) if c in g.columns else F.lit(None)).cast("double") for c in GIVEN]).alias("given"))
+
+    def traced(g: DataFrame, which: str) -> DataFrame:
+        return checkpointed(judged(cut.join(bounded_broadcast(handed(g)), KEYS), trace=which, **how))
+
+    known = checkpointed(known)
+    t = traced(known, "a")
+    noise = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(F.when(F.col("ok"), F.col("flux") - F.col("level"))).alias("sd_r"))
+    known = checkpointed(known.join(noise, KEYS, "left").join(_ellipsoids(t, "a"), KEYS, "left"))
+    t = traced(known, "b")
+    spread = checkpointed(t.groupBy(*KEYS).agg(F.when(F.count_if("ok") >= 4, F.stddev_samp(F.when(F.col("ok"), F.col("flux")))).alias("spread")))
+    far = F.col("plain") & (F.abs(F.col("flux") - F.col("level")) >= times * F.col("spread")) & (F.col("spread") > 0)
+    own = (
+        t.join(bounded_broadcast(spread), KEYS)
+        .groupBy(*KEYS)
+        .agg((F.count_if(far) > F.greatest(usual_share * F.count(F.lit(1)), F.lit(3))).alias("own"), F.stddev_samp(F.when(F.col("ok") | far, F.col("flux"))).alias("own_spread"))
+    )
+    return checkpointed(handed(known.join(spread, KEYS, "left").join(own, KEYS, "left").join(_ellipsoids(t, "b").drop("median"), KEYS, "left")))
+
+
+def _ellipsoids(t: DataFrame, p: str) -> DataFrame:
+    """Rotation and median absolute deviations of ``_outside_ellipsoid`` over the whole series, and the median flux."""
+    turn = checkpointed(t.groupBy(*KEYS).agg(F.atan2(F.sum(F.col("u") * F.col("d2")), F.sum(F.col("u") * F.col("u"))).alias("theta")))
+    c, s = F.cos("theta"), F.sin("theta")
+    v = {"median": F.col("flux"), f"{p}_x": F.col("u") * c + F.col("d2") * s, f"{p}_d1": F.col("d1"), f"{p}_z": F.col("d2") * c - F.col("u") * s, f"{p}_u": F.col("u")}
+    each = t.where("ok").join(bounded_broadcast(turn), KEYS).select(*KEYS, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), x.alias("v")) for k, x in v.items()])).alias("x")).select(*KEYS, "x.*")
+    mid = checkpointed(exact_quantiles(each, [*KEYS, "name"], "v", {"m": 0.5}).drop("n"))
+    off = each.where(F.col("name") != "median").join(bounded_broadcast(mid), [*KEYS, "name"]).select(*KEYS, "name", F.abs(F.col("v") - F.col("m")).alias("v"))
+    mad = exact_quantiles(off, [*KEYS, "name"], "v", {"m": 0.5}).select(*KEYS, "name", (1.4826 * F.col("m")).alias("m"))
+    every = mid.where(F.col("name") == "median").unionByName(mad)
+    wide = every.groupBy(*KEYS).agg(*[F.max(F.when(F.col("name") == k, F.col("m"))).alias(k) for k in v])
+    return wide.join(turn.withColumnRenamed("theta", f"{p}_theta"), KEYS)
+
+
+def judged(series: DataFrame, at_once: int = 100_000, trace: str = "", **how) -> DataFrame:
+    """The readings of ``series`` (from ``in_blocks``) that ``judge`` finds.
+
+    A column ``given`` holds what is known of the whole series, null for series in one
+    block. trace: ``a`` or ``b`` for what ``whole_series`` needs of each reading instead.
+    """
+    if "given" not in series.columns:
+        series = series.withColumn("given", F.lit(None).cast("array<double>"))
+    cols = ["source_id", "band", "blk", "mjd", "obs_id", "flux", "flux_error", "core", "given"]
     ready = series.select(*cols).repartition("source_id", "band", "blk").sortWithinPartitions("source_id", "band", "blk", "mjd", "obs_id", F.col("flux").asc_nulls_last(), F.col("flux_error").asc_nulls_last())
 
     def run(batches):
@@ -124,13 +196,13 @@ def judged(series: DataFrame, at_once: int = 100_000, **how) -> DataFrame:
             cut = _last_series(t)
             if cut == 0:  # one block only so far; blocks are bounded
                 continue
-            yield from _judge_table(t.slice(0, cut), how)
+            yield from _judge_table(t.slice(0, cut), how, trace)
             held = t.slice(cut).combine_chunks().to_batches()
             rows = sum(x.num_rows for x in held)
         if rows:
-            yield from _judge_table(pa.Table.from_batches(held), how)
+            yield from _judge_table(pa.Table.from_batches(held), how, trace)
 
-    return ready.mapInArrow(run, FOUND)
+    return ready.mapInArrow(run, TRACE if trace else FOUND)
 
 
 def _codes(t: pa.Table) -> np.ndarray:
@@ -151,7 +223,7 @@ def _last_series(t: pa.Table) -> int:
     return int(np.flatnonzero(_codes(t))[-1])
 
 
-def _judge_table(t: pa.Table, how: dict):
+def _judge_table(t: pa.Table, how: dict, trace: str = ""):
     t = t.combine_chunks()
     new = _codes(t)
     obs = t["obs_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -161,8 +233,16 @@ def _judge_table(t: pa.Table, how: dict):
     keep = ~again
     seg = np.cumsum(new)[keep] - 1
     flux, err = (t[c].to_numpy(zero_copy_only=False)[keep] for c in ("flux", "flux_error"))
-    r = judge(seg, flux, err, **how)
+    none = [None] * len(GIVEN)
+    given = np.array([x or none for x in t["given"].take(pa.array(np.flatnonzero(new))).to_pylist()], float).reshape(-1, len(GIVEN))
+    r = judge(seg, flux, err, given={k: given[seg, i] for i, k in enumerate(GIVEN)}, trace=trace, **how)
     core = t["core"].to_numpy(zero_copy_only=False)[keep]
+    if trace:
+        hit = core & np.isfinite(flux)
+        out = t.select(["source_id", "band"]).take(pa.array(np.flatnonzero(keep)[hit]))
+        names = ("level", "ok", "plain", "u", "d1", "d2")
+        yield pa.RecordBatch.from_arrays([out["source_id"].combine_chunks(), out["band"].combine_chunks(), pa.array(flux[hit]), *[pa.array(r[k][hit]) for k in names]], names=["source_id", "band", "flux", *names])
+        return
     hit = (r["spike"] | r["stuck"] | r["error_spike"] | r["impossible"]) & core
     at = np.flatnonzero(keep)[hit]
     out = t.take(pa.array(at))
@@ -232,7 +312,7 @@ class _Series:
 
 
 def judge(
-    seg: np.ndarray, flux: np.ndarray, err: np.ndarray, *, times: float = 7.25, error_times: float = 8.0, longest: int = 3, stuck: int = 4, equal: float = 1e-6, below: float = 6.0, half: int = 7, rounds: int = 12, usual_share: float = 0.1
+    seg: np.ndarray, flux: np.ndarray, err: np.ndarray, *, times: float = 7.25, error_times: float = 8.0, longest: int = 3, stuck: int = 4, equal: float = 1e-6, below: float = 6.0, half: int = 7, rounds: int = 12, usual_share: float = 0.1, given: dict[str, np.ndarray] | None = None, trace: str = ""
 ) -> dict[str, np.ndarray]:
     """Judge readings sorted by series ``seg`` and time; NaN flux or err means missing.
 
@@ -252,11 +332,14 @@ def judge(
     of a series (and more than 3 readings) departs, that counts as its own variation.
     Series of fewer than 4 ordinary readings have no spikes.
     impossible: flux below minus ``below`` times both error and spread.
+    given: figures of ``GIVEN`` for each reading, used where they aren't NaN. trace: more
+    of what was computed (``whole_series``).
     """
     n = len(flux)
     s_all = _Series(seg)
     have_e = np.isfinite(err) & (err > 0)
-    usual = s_all.median(err, have_e)[s_all.id] if n else err
+    given = given or {k: np.full(n, np.nan) for k in GIVEN}
+    usual = _known(given["usual"], s_all, s_all.median(err, have_e))[s_all.id] if n else err
     with np.errstate(invalid="ignore", divide="ignore"):
         high = have_e & (err >= error_times * usual)
     out = {k: np.zeros(n, bool) for k in ("spike", "stuck", "error_spike", "impossible")} | {k: np.full(n, np.nan) for k in ("level", "spread")}
@@ -264,35 +347,49 @@ def judge(
     if len(at_e):
         s_e = _Series(seg[at_e])
         out["error_spike"][at_e] = high[at_e] & (s_e.runs(high[at_e]) <= longest)
+    if trace:
+        out |= {k: np.zeros(n, bool) for k in ("ok", "plain")} | {k: np.full(n, np.nan) for k in ("u", "d1", "d2")}
     at = np.flatnonzero(np.isfinite(flux))
     if not len(at):
         return out
     with np.errstate(all="ignore"):
-        spike, still, level, spread = _judge_flux(seg[at], flux[at], have_e[at] & ~high[at] | ~np.isfinite(err[at]), times, longest, stuck, equal, half, rounds, usual_share)
+        spike, still, level, spread, ok, plain = _judge_flux(seg[at], flux[at], have_e[at] & ~high[at] | ~np.isfinite(err[at]), times, longest, stuck, equal, half, rounds, usual_share, {k: v[at] for k, v in given.items()})
         e = np.where(have_e[at] & ~high[at], err[at], usual[at])
         out["impossible"][at] = flux[at] < -below * np.fmax(e, spread)
+        if trace:
+            s = _Series(seg[at])
+            u = np.where(ok, flux[at], level) - level if trace == "a" else flux[at] - level
+            d1 = s.difference(u)
+            out["ok"][at], out["plain"][at], out["u"][at], out["d1"][at], out["d2"][at] = ok, plain, u, d1, s.difference(d1)
     out["spike"][at], out["stuck"][at], out["level"][at], out["spread"][at] = spike, still, level, spread
     return out
 
 
-def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, usual_share):
+def _known(given, s, own):
+    """Per series: the given figure, the series' own where it is NaN."""
+    g = given[s.start]
+    return np.where(np.isnan(g), own, g)
+
+
+def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, usual_share, given):
     s = _Series(seg)
     step = np.zeros(s.n, bool)
     step[1:] = (np.abs(flux[1:] - flux[:-1]) <= equal * np.abs(flux[1:])) & (s.id[1:] == s.id[:-1])
     k = np.cumsum(~step) - 1
     still = np.bincount(k)[k] >= stuck
     plain = plain & ~still
-    def level_of(s, flux, ok):
+
+    def level_of(s, flux, ok, median):
         lv = s.rolling_median(flux, ok, half)
-        return np.where(np.isnan(lv), s.median(flux, ok)[s.id], lv)
+        return np.where(np.isnan(lv), _known(median, s, s.median(flux, ok))[s.id], lv)
 
     outside = np.zeros(s.n, bool)
     at = np.arange(s.n)  # of the series in which the last round found something
     for _ in range(rounds):
         sub = _Series(seg[at])
         ok = plain[at] & ~outside[at]
-        level = level_of(sub, flux[at], ok)
-        new = _outside_ellipsoid(sub, np.where(ok, flux[at], level), ok, level)
+        level = level_of(sub, flux[at], ok, given["median"][at])
+        new = _outside_ellipsoid(sub, np.where(ok, flux[at], level), ok, level, {k: v[at] for k, v in given.items()}, "a")
         # The strongest first: the weaker ones may only be their shadows in the differences.
         u = np.where(new, np.abs(flux[at] - level), 0.0)
         new &= u >= 0.25 * np.maximum.reduceat(u, sub.start)[sub.id]
@@ -307,7 +404,7 @@ def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, us
     # Ordinary readings: take back what lies within reach of noise and own variation.
     sd_r = None
     for _ in range(8):
-        level = level_of(s, flux, ok)
+        level = level_of(s, flux, ok, given["median"])
         res = flux - level
         m = s.sum(ok.astype(float))
         mean_r = s.sum(np.where(ok, res, 0)) / np.maximum(m, 1)
@@ -315,46 +412,47 @@ def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, us
             sd_r = 1.4826 * s.median(np.abs(res - s.median(res, ok)[s.id]), ok)
         else:
             sd_r = np.sqrt(s.sum(np.where(ok, (res - mean_r[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
+        sd_r = _known(given["sd_r"], s, sd_r)
         back = plain & (np.abs(res) < 6 * sd_r[s.id])
         if (back == ok).all():
             break
         ok = back
-    level = level_of(s, flux, ok)
+    level = level_of(s, flux, ok, given["median"])
 
     def spread_of(ok):
         m = s.sum(ok.astype(float))
         mean = s.sum(np.where(ok, flux, 0)) / np.maximum(m, 1)
         sd = np.sqrt(s.sum(np.where(ok, (flux - mean[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
-        return np.where(m >= 4, sd, np.nan)[s.id]
+        return np.where(m >= 4, sd, np.nan)
 
-    spread = spread_of(ok)
+    spread = _known(given["spread"], s, spread_of(ok))[s.id]
     far = plain & (np.abs(flux - level) >= times * spread) & (spread > 0)
     # Where a good part of a series departs, that is how the source varies.
-    own = (s.sum(far.astype(float)) > np.maximum(usual_share * s.size, 3))[s.id]
-    spread = np.where(own, spread_of(ok | far & own), spread)
+    own = _known(given["own"], s, s.sum(far.astype(float)) > np.maximum(usual_share * s.size, 3))[s.id] > 0
+    spread = np.where(own, _known(given["own_spread"], s, spread_of(ok | far & own))[s.id], spread)
     far &= np.abs(flux - level) >= times * spread
-    far &= _outside_ellipsoid(s, flux, ok, level)
+    far &= _outside_ellipsoid(s, flux, ok, level, given, "b")
     # A departure lasts as long as readings stay off on the same side by half as much.
     side = np.where(np.abs(flux - level) >= times / 2 * spread, np.sign(flux - level), 0.0)
     spike = far & (s.runs(side) <= longest)
-    return spike, still, level, spread
+    return spike, still, level, spread, ok, plain
 
 
-def _outside_ellipsoid(s, flux, ok, level):
+def _outside_ellipsoid(s, flux, ok, level, given, p):
     """Readings outside the robust ellipsoid over value, first and second difference."""
 
-    def mad(v):
-        return 1.4826 * s.median(np.abs(v - s.median(v, ok)[s.id]), ok)[s.id]
+    def mad(v, name):
+        return _known(given[f"{p}_{name}"], s, 1.4826 * s.median(np.abs(v - s.median(v, ok)[s.id]), ok))[s.id]
 
-    lam = np.sqrt(2 * np.log(np.maximum(s.size, 3)))[s.id]
+    lam = np.sqrt(2 * np.log(np.maximum(_known(given["n"], s, s.size), 3)))[s.id]
     u = flux - level
     d1 = s.difference(u)
     d2 = s.difference(d1)
-    theta = np.arctan2(s.sum(u * d2), s.sum(u * u))[s.id]
+    theta = _known(given[f"{p}_theta"], s, np.arctan2(s.sum(u * d2), s.sum(u * u)))[s.id]
     x, z = u * np.cos(theta) + d2 * np.sin(theta), d2 * np.cos(theta) - u * np.sin(theta)
     rho = np.zeros(s.n)
-    for v in (x, d1, z):
-        a = mad(v) * lam
+    for v, name in ((x, "x"), (d1, "d1"), (z, "z")):
+        a = mad(v, name) * lam
         rho += np.nan_to_num((v / np.where(a > 0, a, np.nan)) ** 2, posinf=np.inf)
     # Differences put a spike's neighbours outside too; a place is found by its own value.
-    return (rho > 1) & (np.abs(u) > mad(u) * lam)
+    return (rho > 1) & (np.abs(u) > mad(u, "u") * lam)

@@ -181,6 +181,28 @@ def test_long_series_in_blocks(spark):
     assert b.where("core").count() == 3050 and b.groupBy("source_id", "blk").count().agg(F.max("count")).first()[0] < 500
 
 
+def test_long_varying_series_is_judged_as_a_whole(spark):
+    """The spread, the usual error and the noise are the whole series', whatever the block."""
+    rng = np.random.default_rng(7)
+    t, f, e = series(rng, 3000)
+    f += 40 * np.sin(2 * np.pi * (t - 61041) / 720)
+    third = 2 * (t < 61281)
+    e[third > 0] *= 9  # no error spikes: lasting, and plain by no block of its own
+    spread = np.std(f)
+    at = np.arange(60, 2950, 170)
+    far = np.resize([5.0, 6.0, 9.0, 12.0], len(at))  # times the whole spread, from the level
+    f[at] += far * spread * rng.choice([-1, 1], len(at))
+    quiet = np.arange(1010, 1990, 70)
+    e[quiet] = 2.0 * 11
+    df = readings(spark, rows_of(1, t, f, e)).repartition(6)
+    flags = ("spike", "stuck", "error_spike", "impossible")
+    whole, small = ({r["obs_id"]: tuple(r[c] for c in flags) for r in spikes.implausible(df, block=b, margin=32).collect()} for b in (20_000, 500))
+    assert whole == small
+    assert {f"o{i:05}" for i in at[(far > 8) & (third[at] == 0)]} <= set(small)
+    assert not {f"o{i:05}" for i in at[far < 7]} & set(small)
+    assert {f"o{i:05}" for i in quiet} <= set(small)
+
+
 def test_judge_over_many_series_equals_one_by_one():
     rng = np.random.default_rng(5)
     parts = []
