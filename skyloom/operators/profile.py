@@ -2,9 +2,10 @@
 
 ``footer_chunks`` reads the footers (and, for dictionary-encoded columns, the page
 headers and dictionary pages) of all files, distributed over the executors.
-``profile`` takes nulls, extrema and distinct values of a load from there where the
-statistics are sufficient, and scans the other files only. ``load_changes`` compares
-each load's shape with the other loads.
+``footer_profile`` takes nulls, extrema and distinct values of a load from there where
+they are sufficient, and scans the other files only. ``profile`` scans for what breaks
+the rules and takes distinct values from ``footer_profile``. ``load_changes`` compares each
+load's shape with the other loads.
 """
 
 from __future__ import annotations
@@ -88,16 +89,14 @@ class Rule:
     extra: dict[str, Column] = field(default_factory=dict)
 
 
-def profile(spark: SparkSession, df: DataFrame, rules: dict[str, Rule], load: str = "load_id") -> DataFrame:
+def profile(spark: SparkSession, df: DataFrame, rules: dict[str, Rule], load: str = "load_id", distinct: bool = True) -> DataFrame:
     """load, column_name, n_rows, n_null, null_rate, n_nan, min, max, n_broken, n_distinct.
 
     ``df`` must be a plain parquet scan. min and max are over values that are not NaN
     (infinities count); both null where a load has no such value. n_broken counts
-    values that break the column's rule. n_distinct is exact where complete
-    dictionaries cover the load, else HyperLogLog's estimate (relative standard
-    deviation 1.5 %), of values that are neither null nor NaN. Files whose chunks all
-    have one load, exact statistics and values inside the rule's constant bounds would
-    need no scan; a rule over other columns needs one, so such columns are scanned.
+    values that break the column's rule. n_distinct, unless ``distinct`` is false, is the exact
+    number of values that are neither null nor NaN, from ``footer_profile``. All else
+    comes from a scan, for which a rule over other columns needs the rows.
     A null load is a load of its own; an empty table gives no row.
     """
     parts = []
@@ -121,61 +120,57 @@ def profile(spark: SparkSession, df: DataFrame, rules: dict[str, Rule], load: st
         F.min("v").alias("min"),
         F.max("v").alias("max"),
         F.sum("broken").alias("n_broken"),
-        F.approx_count_distinct("v", 0.015).alias("n_distinct"),
-    )
-    return out.withColumn("null_rate", F.col("n_null") / F.col("n_rows"))
+    ).withColumn("null_rate", F.col("n_null") / F.col("n_rows"))
+    if not distinct:
+        return out
+    of = footer_profile(spark, df, list(rules), load).select(F.col(load).alias("_load"), F.col("column_name").alias("_column"), "n_distinct")
+    return out.join(of, F.col(load).eqNullSafe(F.col("_load")) & (F.col("column_name") == F.col("_column")), "left").drop("_load", "_column")
 
 
 def footer_profile(spark: SparkSession, df: DataFrame, columns: list[str], load: str = "load_id") -> DataFrame:
     """load, column_name, n_rows, n_null, min, max, n_distinct, scanned_share.
 
-    Figures over the non-null values. Chunks of one load with exact footers are taken
-    from there; all other files are scanned, for just the columns in question.
-    n_distinct is null where a chunk had to be scanned. scanned_share is the share of
-    the load's rows that had to be read.
+    Figures over the values that are neither null nor NaN. Chunks of one load with exact
+    footers and complete dictionaries are taken from there; all other files are scanned,
+    for just the columns in question. n_distinct is exact: the union of the load's
+    dictionaries and of the values scanned. scanned_share is the share of the load's
+    rows that had to be read.
     """
     files = list(df.inputFiles())
     if not files:
         return spark.createDataFrame([], f"{load} bigint, column_name string, n_rows bigint, n_null bigint, min double, max double, n_distinct bigint, scanned_share double")
     chunks = checkpointed(footer_chunks(spark, files, columns, load))
-    good = F.col("exact") & (F.col("load_min") == F.col("load_max")) & (F.col("load_nulls") == 0)
+    complete = F.col("distinct").isNotNull() | (F.col("n_null") == F.col("n_rows"))
+    good = F.col("exact") & complete & (F.col("load_min") == F.col("load_max")) & (F.col("load_nulls") == 0)
     per_file = chunks.groupBy("path", "column_name").agg(F.min(F.coalesce(good, F.lit(False))).alias("good"))
-    known = (
-        chunks.join(per_file.where("good").drop("good"), ["path", "column_name"])
-        .withColumn(load, F.col("load_min"))
-        .select(load, "column_name", "n_rows", "n_null", "min", "max", "distinct", F.lit(0).cast("long").alias("read"))
-    )
-    parts = [known]
+    settled = chunks.join(per_file.where("good").drop("good"), ["path", "column_name"]).withColumn(load, F.col("load_min"))
+    # Values with the rows that were scanned for them: none for those of dictionaries.
+    values = [settled.select(load, "column_name", F.explode("distinct").alias("v"), F.lit(0).cast("long").alias("n"))]
     for c in columns:
         # As many names as the table has files of this kind; the listing holds them already.
         todo = [r["path"] for r in per_file.where((~F.col("good")) & (F.col("column_name") == c)).select("path").toLocalIterator()]
         if not todo:
             continue
-        v = F.col(c).cast("double")
         s = spark.read.schema(T.StructType([f for f in df.schema.fields if f.name in {c, load}])).parquet(*todo)
-        # The smallest and largest of what is no NaN: NaN sorts last in Spark.
-        parts.append(
-            s.groupBy(load)
-            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(c).isNull().cast("long")).alias("n_null"), F.min(F.when(~F.isnan(v), v)).alias("min"), F.max(F.when(~F.isnan(v), v)).alias("max"))
-            .select(load, F.lit(c).alias("column_name"), "n_rows", "n_null", "min", "max", F.lit(None).cast("array<double>").alias("distinct"), F.col("n_rows").alias("read"))
-        )
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    # Dictionaries are bounded by the writer's dictionary page size; their union per load is exact.
-    values = both.where(F.col("distinct").isNotNull()).select(load, "column_name", F.explode("distinct").alias("v")).distinct().groupBy(load, "column_name").agg(F.count(F.lit(1)).alias("n_values"))
-    sums = both.groupBy(load, "column_name").agg(
-        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("read").alias("read"), F.count_if(F.col("distinct").isNull()).alias("open")
+        values.append(s.groupBy(load, F.col(c).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).select(load, F.lit(c).alias("column_name"), "v", "n"))
+    every = values[0]
+    for x in values[1:]:
+        every = every.unionByName(x)
+    v, n = F.col("v"), F.col("n")
+    ok = v.isNotNull() & ~F.isnan(v)
+    # Equal values of dictionaries and scans fold into one before they are counted.
+    seen = (
+        every.groupBy(load, "column_name", "v")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(load, "column_name")
+        .agg(F.sum(n).alias("n_rows"), F.sum(F.when(v.isNull(), n).otherwise(0)).alias("n_null"), F.min(F.when(ok, v)).alias("min"), F.max(F.when(ok, v)).alias("max"), F.count_if(ok).alias("n_distinct"), F.sum(n).alias("read"))
     )
-    return sums.join(values, [load, "column_name"], "left").select(
-        load,
-        "column_name",
-        "n_rows",
-        "n_null",
-        "min",
-        "max",
-        F.when(F.col("open") == 0, F.coalesce(F.col("n_values"), F.lit(0).cast("long"))).alias("n_distinct"),
-        (F.col("read") / F.col("n_rows")).alias("scanned_share"),
+    zero = F.lit(0).cast("long")
+    both = seen.unionByName(settled.select(load, "column_name", "n_rows", "n_null", "min", "max", zero.alias("n_distinct"), zero.alias("read")))
+    return (
+        both.groupBy(load, "column_name")
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n_distinct").alias("n_distinct"), F.sum("read").alias("read"))
+        .select(load, "column_name", "n_rows", "n_null", "min", "max", "n_distinct", (F.col("read") / F.col("n_rows")).alias("scanned_share"))
     )
 
 

@@ -14,7 +14,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = profile.profile(spark, table(spark, d, "lightcurve"), profile.lightcurve_rules())
+    p = profile.profile(spark, table(spark, d, "lightcurve"), profile.lightcurve_rules(), distinct=False)  # p2_footers has the distinct values
     return p.select("load_id", "column_name", "n_rows", "n_null", "n_nan", "n_broken", "min", "max", F.round("null_rate", 9).alias("null_rate"))
 
 

@@ -83,6 +83,21 @@ def test_footer_profile_equals_scan(spark, tmp_path):
     assert got[(11, "e")]["n_distinct"] == 0 and got[(11, "e")]["min"] is None
 
 
+def test_distinct_values_of_mixed_chunks(spark, tmp_path):
+    """Loads that share files, values in dictionaries and in scans: each counts once."""
+    at = tmp_path / "m"
+    at.mkdir()
+    parts = [([1] * 4, [1.0, 2.0, 2.0, None]), ([1, 1, 2, 2, None], [2.0, 3.0, float("nan"), None, 5.0]), ([2, 2], [7.0, float("nan")])]
+    for i, (load, v) in enumerate(parts):
+        pq.write_table(pa.table({"load_id": pa.array(load, pa.int64()), "v": pa.array(v, pa.float64())}), at / f"{i}.parquet")
+    df = spark.read.parquet(str(at))
+    got = {r["load_id"]: r for r in profile.footer_profile(spark, df, ["v"]).collect()}
+    assert {k: (r["n_rows"], r["n_null"], r["min"], r["max"], r["n_distinct"]) for k, r in got.items()} == {1: (6, 1, 1.0, 3.0, 3), 2: (4, 1, 7.0, 7.0, 1), None: (1, 0, 5.0, 5.0, 1)}
+    assert 0 < got[1]["scanned_share"] < 1
+    p = profile.profile(spark, df, {"v": profile.Rule(F.lit(True))}).collect()
+    assert {r["load_id"]: r["n_distinct"] for r in p} == {1: 3, 2: 1, None: 1}
+
+
 @pytest.mark.parametrize("codec", ["snappy", "zstd", "gzip", "none"])
 @pytest.mark.parametrize("version", ["1.0", "2.0"])
 def test_dictionary_pages(tmp_path, codec, version):
