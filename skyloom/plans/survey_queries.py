@@ -217,9 +217,19 @@ def mag_to_flux(spark, d):
 @query("""WITH u AS (SELECT meas_id, snr, CASE meas_id % 4 WHEN 0 THEN 'MJy/sr' WHEN 1 THEN ' uJy / arcsec2' WHEN 2 THEN 'JY/ARCSEC2' ELSE 'parsec' END AS unit FROM lightcurve WHERE snr BETWEEN -1e6 AND 1e6)
 SELECT meas_id, round(snr * CASE lower(replace(unit, ' ', '')) WHEN 'mjy/sr' THEN 1::double WHEN 'ujy/arcsec2' THEN 1e12::double / pow(648000::double / pi(), 2) WHEN 'jy/arcsec2' THEN 1e6::double / pow(648000::double / pi(), 2) END, 6) AS converted FROM u""")
 def unit_convert(spark, d):
+    return _converted(lc(spark, d).where(F.col("snr").between(-1e6, 1e6))).select("meas_id", F.round("converted", 6).alias("converted"))
+
+
+@query()
+def unit_convert_all(spark, d):
+    """Every reading, whatever its value."""
+    return _converted(lc(spark, d))
+
+
+def _converted(m):
     k = F.col("meas_id") % 4
     unit = F.when(k == 0, "MJy/sr").when(k == 1, " uJy / arcsec2").when(k == 2, "JY/ARCSEC2").otherwise("parsec")
-    return lc(spark, d).where(F.col("snr").between(-1e6, 1e6)).select("meas_id", F.round(F.col("snr") * S.unit_factor(unit), 6).alias("converted"))
+    return m.select("meas_id", (F.col("snr") * S.unit_factor(unit)).alias("converted"))
 
 
 @query("SELECT meas_id, CASE WHEN flag < 0 THEN '-' || lpad(bin(-flag::bigint), greatest(21, length(bin(-flag::bigint)))::int, '0') ELSE lpad(bin(flag::bigint), greatest(22, length(bin(flag::bigint)))::int, '0') END AS bits FROM lightcurve")
@@ -323,6 +333,18 @@ def histogram20_snr(spark, d):
     return lightcurves.histogram(lc(spark, d).where(F.col("snr").between(0, 200)), ["band"], "snr")
 
 
+@query()
+def histogram20_wavelength_all(spark, d):
+    """Over all finite wavelengths."""
+    return lightcurves.histogram(lc(spark, d), ["band"], "wavelength")
+
+
+@query()
+def histogram20_snr_all(spark, d):
+    """Over all finite ratios of readings whose error is positive."""
+    return lightcurves.histogram(lc(spark, d).where(F.col("flux_error") > 0), ["band"], "snr")
+
+
 _GOODTIME = "mjd >= 61041 AND mjd < 61761"
 
 
@@ -351,8 +373,18 @@ def axis_limits(spark, d):
 
 @query("""SELECT band, count(snr) AS n, round(avg(snr), 6) AS mean, round(stddev_samp(snr), 6) AS std, min(snr) AS min, max(snr) AS max, round(100 * avg((snr < 5)::int), 6) AS percent_low FROM lightcurve WHERE snr BETWEEN -1000 AND 1000 GROUP BY band""")
 def describe_snr(spark, d):
+    return _described(lc(spark, d).where(F.col("snr").between(-1000, 1000)))
+
+
+@query()
+def describe_snr_all(spark, d):
+    """Over all finite ratios."""
+    return _described(lc(spark, d).where(S.finite(F.col("snr"))))
+
+
+def _described(m):
     v = F.col("snr")
-    return lc(spark, d).where(v.between(-1000, 1000)).groupBy("band").agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(100 * F.avg((v < 5).cast("int")), 6).alias("percent_low"))
+    return m.groupBy("band").agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(100 * F.avg((v < 5).cast("int")), 6).alias("percent_low"))
 
 
 _ONCE = f"SELECT source_id, obs_id, band, min(flux) AS flux, min(mag_ab) AS mag FROM lightcurve WHERE {fin('flux')} AND flux BETWEEN 1 AND 1e6 AND mag_ab BETWEEN 5 AND 30 GROUP BY 1, 2, 3"
@@ -361,7 +393,17 @@ _ONCE = f"SELECT source_id, obs_id, band, min(flux) AS flux, min(mag_ab) AS mag
 @query(f"WITH a AS ({_ONCE}), j AS (SELECT band, (pow(10::double, (23.9::double - mag) / 2.5::double) - flux) / flux * 100 AS p FROM a) SELECT band, count(*) AS n, round(avg(p), 4) AS mean_diff, round(stddev_samp(p), 4) AS std_diff FROM j GROUP BY band")
 def compare_curves(spark, d):
     """Delivered fluxes against those that follow from the delivered magnitudes."""
-    m = lc(spark, d).where(F.col("flux").between(1, 1e6) & F.col("mag_ab").between(5, 30)).groupBy("source_id", "obs_id", "band").agg(F.min("flux").alias("flux"), F.min("mag_ab").alias("mag"))
+    return _compared(lc(spark, d).where(F.col("flux").between(1, 1e6) & F.col("mag_ab").between(5, 30)))
+
+
+@query()
+def compare_curves_all(spark, d):
+    """``compare_curves`` over all readings with a finite flux and magnitude."""
+    return _compared(lc(spark, d).where(S.finite(F.col("flux")) & S.finite(F.col("mag_ab"))))
+
+
+def _compared(m):
+    m = m.groupBy("source_id", "obs_id", "band").agg(F.min("flux").alias("flux"), F.min("mag_ab").alias("mag"))
     on = ["source_id", "obs_id", "band"]
     other = m.select(*on, F.pow(F.lit(10.0), (F.lit(23.9) - F.col("mag")) / 2.5).alias("flux"))
     c = lightcurves.compare(m, other, on)
