@@ -60,10 +60,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    return p5_compacted(spark, d).select("obs_id", "band", "proc_version", "n_lines", "mjd", "wavelength_min", "wavelength_max")
+    """Every compacted record with the number of its lines and of their variants."""
+    return p5_compacted(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p2_footer_extrema, p3_found, p4_found, p4_grid, p4_flux, p4_support, p5_found, p5_records)}
+def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The non-blank lines that hold no record."""
+    at, rejects = run_dir(spark, "records"), run_dir(spark, "rejects")
+    compact.compact(table(spark, d, "small_file"), at, rejects=rejects)
+    return spark.read.parquet(rejects)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p2_footer_extrema, p3_found, p4_found, p4_grid, p4_flux, p4_support, p5_found, p5_records, p5_rejects)}
 
 _COLUMN = """
 SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null,
@@ -115,11 +123,20 @@ w AS (SELECT g.source_id, g.band, g.p, (mjd - 61041) / 10 - (g.p + 0.5::double)
 s AS (SELECT source_id, band, p, sum(w) AS s0, sum(w * w) AS q, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * flux) AS t0, sum(w * d * flux) AS t1 FROM w GROUP BY ALL)
 SELECT source_id, band, p AS period_no, printf('%.4e', CASE WHEN s0 * s2 - s1 * s1 > 1e-9::double * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END) AS flux
 FROM s LEFT JOIN own USING (source_id, band, p) WHERE s0 > 0 AND (n > 0 OR s0 * s0 / q >= 2)"""
-_RECORDS = r"""
-WITH l AS (SELECT trim(unnest(string_split_regex(payload, '\r\n|\n|\r')), E' \t\r\n') AS l FROM small_file),
+_LINES = r"""
+WITH l AS (SELECT trim(unnest(string_split_regex(payload, '\r\n|\n|\r')), E' \t\r\n﻿') AS l FROM small_file)"""
+_RECORDS = _LINES + r""",
 j AS (SELECT l::json AS j FROM l WHERE json_valid(l) AND l LIKE '{%}'),
 k AS (SELECT upper(trim(j->>'obs_id')) AS obs_id, trim(j->>'band') AS band, nullif(regexp_extract(j->>'download_url', '/(pv[^/]*)/', 1), '') AS proc_version,
-  (j->>'mjd')::double AS mjd, (j->>'wavelength_min')::double AS wavelength_min, (j->>'wavelength_max')::double AS wavelength_max FROM j)
+  (j->>'mjd')::double AS mjd, (j->>'wavelength_min')::double AS wavelength_min, (j->>'wavelength_max')::double AS wavelength_max,
+  j->>'download_url' AS download_url, (j->>'t_min')::double AS t_min, (j->>'t_max')::double AS t_max FROM j)
 """
+_REST = ("mjd", "wavelength_min", "wavelength_max", "download_url", "t_min", "t_max")
 SQL["p5_found"] = _RECORDS + "SELECT obs_id, band, proc_version FROM k GROUP BY ALL HAVING count(*) > 1"
-SQL["p5_records"] = _RECORDS + "SELECT obs_id, band, proc_version, count(*) AS n_lines, min(mjd) AS mjd, min(wavelength_min) AS wavelength_min, min(wavelength_max) AS wavelength_max FROM k GROUP BY obs_id, band, proc_version"
+SQL["p5_rejects"] = _LINES + " SELECT l AS line FROM l WHERE l <> '' AND NOT (json_valid(l) AND l LIKE '{%}')"
+SQL["p5_records"] = f"""{_RECORDS},
+v AS (SELECT *, count(*) AS n FROM k GROUP BY ALL),
+o AS (SELECT *, {" + ".join(f"({c} IS NULL)::int" for c in _REST)} AS nulls FROM v)
+SELECT obs_id, band, proc_version, (sum(n) OVER w)::bigint AS n_lines, count(*) OVER w AS n_variants, {", ".join(_REST)} FROM o
+WINDOW w AS (PARTITION BY obs_id, band, proc_version)
+QUALIFY row_number() OVER (PARTITION BY obs_id, band, proc_version ORDER BY nulls, {", ".join(f"{c} NULLS FIRST" for c in _REST)}) = 1"""

@@ -318,6 +318,46 @@ def test_compaction_of_nothing_and_null_keys(spark, tmp_path):
     assert compact.repeated(spark.read.parquet(str(tmp_path / "b"))).count() == 0
 
 
+def nested(k, levels):
+    return '{"obs_id":"N%d","band":"D1","more":' % k + '{"a":' * levels + "[1]" + "}" * levels + "}"
+
+
+def test_no_line_is_lost(spark, tmp_path):
+    """Records and rejects together are all non-blank lines, however deep or odd."""
+    good = [nested(k, k) for k in (0, 1, 6, 7, 9, 20, 500)] + ["{}", '{"obs_id": "dup", "obs_id": "dup2"}', "\ufeff" + line("BOM")]
+    bad = ["{'obs_id':'Q','band':'D1'}", line() + line(), line() + "," + line(), line() + "],[" + line(), '{"obs_id":NaN}', line()[:-1] + ",}", "[" + line() + "]", "7", "null", '"a"', nested(9, 3)[:-1], nested(9, 3) + "}"]
+    files = spark.createDataFrame([("\n \n".join(good[:5]) + "\r\n",), ("\r".join(good[5:] + bad) + "\n\ufeff\n\t",), (None,), ("",)], "payload string")
+    at, rejects = str(tmp_path / "out"), str(tmp_path / "rejects")
+    done = compact.compact(files, at, rejects=rejects)
+    assert (done["lines"], done["rejects"]) == (len(good), len(bad)) and compact.count_lines(files) == len(good) + len(bad)
+    assert sorted(r["line"] for r in spark.read.parquet(rejects).collect()) == sorted(bad)
+    assert {r["obs_id"] for r in spark.read.parquet(at).collect()} == {"N0", "N1", "N6", "N7", "N9", "N20", "N500", None, "DUP2", "BOM"}
+
+
+def test_lines_that_differ_are_kept_whole(spark, tmp_path):
+    rows = [line(mjd=1.0, t_min=9.0), line(mjd=5.0, t_min=2.0), line(mjd=5.0, t_min=2.0), line(mjd=None, t_min=0.0)]
+    compact.compact(spark.createDataFrame([("\n".join(rows),)], "payload string"), str(tmp_path / "a"))
+    (r,) = spark.read.parquet(str(tmp_path / "a")).collect()
+    assert (r["mjd"], r["t_min"], r["n_lines"], r["n_variants"]) == (1.0, 9.0, 4, 3)
+
+
+def test_a_parser_that_loses_lines_is_noticed(spark, tmp_path, monkeypatch):
+    real = compact.parsed
+    monkeypatch.setattr(compact, "parsed", lambda f: real(f).where("obs_id <> 'A2'"))
+    with pytest.raises(RuntimeError):
+        compact.compact(spark.createDataFrame([(line() + "\n" + line("A2"),)], "payload string"), str(tmp_path / "a"))
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_death_between_the_renames_is_mended(spark, tmp_path):
+    at = tmp_path / "out"
+    compact.compact(spark.createDataFrame([(line(),)], "payload string"), str(at))
+    at.rename(tmp_path / "out.old-1")
+    assert compact.recover(spark, str(at)) and spark.read.parquet(str(at)).count() == 1
+    (tmp_path / "out.old-2").mkdir()
+    assert not compact.recover(spark, str(at)) and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_failed_reconciliation_leaves_the_target(spark, tmp_path, monkeypatch):
     files = spark.createDataFrame([(line(),)], "payload string")
     at = str(tmp_path / "out")
