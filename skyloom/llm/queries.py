@@ -61,7 +61,13 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return prose.score(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_load, p1_levels, p6_ids, p6_lengths, p7_packing, p7_containers, p8_found, p8_statistics)}
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that no language is needed for."""
+    s = prose.document_statistics(table(spark, d, "documents"), words=prose.Words())
+    return s.select("doc_id", "n_chars", "n_trimmed", "n_words", *[F.round(c, 9).alias(c) for c in ("word_length", "symbol_ratio", "digit_ratio", "line_end_ratio")])
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_load, p1_levels, p6_ids, p6_lengths, p7_packing, p7_containers, p8_found, p8_statistics, p8_counts)}
 
 _G = (1 + ALPHA * (1 - 1e-9)) / (1 - ALPHA * (1 - 1e-9))
 
@@ -87,3 +93,26 @@ SQL = {
     "p1_by_load": f"SELECT * EXCLUDE (level, source_id) FROM ({_level_sql('band', ['band'])})",
     "p1_levels": " UNION ALL ".join(_level_sql(k, g) for k, g in LEVELS.items()),
 }
+
+_BLANK = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_TAGS = _BLANK + "\\x{e000}"
+_OWN = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in prose.UNSPACED)
+
+
+def _set(chars: str) -> str:
+    """``chars`` within brackets of a regular expression within a string of SQL."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+
+
+SQL["p8_counts"] = f"""
+WITH c AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{prose.MARKUP}', chr(57344), 'g') AS c FROM documents),
+x AS (SELECT *, regexp_replace(c, '[{_TAGS}]', '', 'g') AS solid, length(regexp_replace(c, '[^{_OWN}]', '', 'g')) AS own,
+  regexp_extract_all(regexp_replace(c, '[{_OWN}]', ' ', 'g'), '[\\p{{L}}\\p{{M}}]*\\p{{L}}[\\p{{L}}\\p{{M}}]*') AS w,
+  list_filter(regexp_split_to_array(c, '[{_set(prose.LINE_ENDS)}]'), lambda x: regexp_matches(x, '[^{_TAGS}]')) AS l FROM c),
+y AS (SELECT *, len(w) + ceil(own / 2)::bigint AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) + own AS letters, length(solid) AS k,
+  len(list_filter(l, lambda x: regexp_matches(x, '[{_set(prose.SENTENCE_ENDS + ":")}][{_TAGS}{_set(prose.CLOSERS)}]*$'))) AS ended FROM x)
+SELECT doc_id, length(t) AS n_chars, length(regexp_replace(t, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')) AS n_trimmed, n AS n_words,
+  round(CASE WHEN n > 0 THEN letters / n ELSE 0 END, 9) AS word_length,
+  round(CASE WHEN k > 0 THEN length(regexp_replace(solid, '[\\p{{L}}\\p{{M}}\\p{{N}}{_set(prose.PUNCTUATION)}]', '', 'g')) / k ELSE 0 END, 9) AS symbol_ratio,
+  round(CASE WHEN k > 0 THEN length(regexp_replace(solid, '[^\\p{{Nd}}]', '', 'g')) / k ELSE 0 END, 9) AS digit_ratio,
+  round(CASE WHEN len(l) > 0 THEN ended / len(l) ELSE 0 END, 9) AS line_end_ratio FROM y"""
