@@ -189,7 +189,7 @@ def _clean(column):
     return pc.replace_substring_regex(text, MARKUP, TAG).to_pylist()
 
 
-def _portions(texts: list[str], most: int = 1_000_000):
+def _portions(texts: list[str], most: int = 100_000):
     """Ranges of texts of about ``most`` characters together; a longer text stands alone."""
     a = total = 0
     for i, t in enumerate(texts):

@@ -112,7 +112,7 @@ def test_prose_of_languages_that_were_not_learned(spark):
 
 def test_the_distance_alone_decides(spark):
     """What is listed is what is far; other limits list other texts."""
-    mixed = [(1000 + k, PROSE["en"] + "\n" + JUNK[0] * k, "en", "x") for k in range(5)]
+    mixed = [(1000 + k, PROSE["en"] + "\n" + JUNK[0][: 40 * k], "en", "x") for k in range(6)]
     df = spark.createDataFrame(corpus() + mixed, "doc_id long, text string, lang string, distance string")
     d = {r["doc_id"]: r["distance"] for r in P.score(df).where("n_trimmed >= 40").collect()}
     listed = [{r["doc_id"] for r in P.not_prose(df, far=far).collect()} for far in (5.0, 27.877, 1e9)]
