@@ -189,7 +189,7 @@ def _clean(column):
     return pc.replace_substring_regex(text, MARKUP, TAG).to_pylist()
 
 
-def _portions(texts: list[str], most: int = 100_000):
+def _portions(texts: list[str], most: int = 200_000):
     """Ranges of texts of about ``most`` characters together; a longer text stands alone."""
     a = total = 0
     for i, t in enumerate(texts):
@@ -255,60 +255,78 @@ class Words:
 LEARNED = T.StructType([T.StructField("code", T.StringType()), T.StructField("word", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("sentence", "fragment", "docs")]])
 
 
-def _learn_batch(texts: list[str], codes: list[str]):
-    """LEARNED rows of some texts: words in sentences and in fragments, and letters ('' and a class)."""
-    names = sorted(set(codes))
-    lang = np.array([names.index(c) for c in codes])
-    x = _Texts(texts)
-    out = []
-    of = x.piece[x.token]
-    least = np.where(x.unspaced, 12, 7)
-    sentence = (x.ended & (x.tokens >= least))[of] & x.counted
-    fragment = (x.tokens <= np.where(x.unspaced, 8, 5))[of] & x.counted
-    use = np.flatnonzero(sentence | fragment)
-    if len(use):
-        order = use[np.lexsort((x.hash[use], lang[x.doc[x.token[use]]]))]
-        h, g, d = x.hash[order], lang[x.doc[x.token[order]]], x.doc[x.token[order]]
-        new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-        k = np.flatnonzero(new)
-        s, f = (np.add.reduceat(v[order].astype(np.int64), k) for v in (sentence, fragment))
-        docs = np.add.reduceat((np.r_[True, d[1:] != d[:-1]] | new).astype(np.int64), k)
-        for i, a, b, c in zip(order[k], s, f, docs):
-            p, m = x.token[i], x.length[i]
-            out.append((names[lang[x.doc[p]]], "".join(map(chr, x.code[p : p + m])), int(a), int(b), int(c)))
-    seen = x.presence()
-    for i, name in enumerate(names):
-        of = seen[lang == i].sum(axis=0)
-        out += [(name, f" {c}", 0, 0, int(of[c])) for c in np.flatnonzero(of)]
-        out.append((name, " ", 0, 0, int((lang == i).sum())))
-    return out
+class _Learned:
+    """LEARNED counts of many texts: words in sentences and in fragments, and letters (a blank and a class)."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.words: dict[int, str] = {}
+        self.counts: list[np.ndarray] = []  # rows of code, hash (as signed), and the three counts
+        self.letters = np.zeros((0, _LETTERS + 1), np.int64)
+
+    def add(self, texts: list[str], codes: list[str]) -> None:
+        lang = np.array([self.codes.setdefault(c, len(self.codes)) for c in codes])
+        x = _Texts(texts)
+        of = x.piece[x.token]
+        sentence = (x.ended & (x.tokens >= np.where(x.unspaced, 12, 7)))[of] & x.counted
+        fragment = (x.tokens <= np.where(x.unspaced, 8, 5))[of] & x.counted
+        use = np.flatnonzero(sentence | fragment)
+        if len(use):
+            order = use[np.lexsort((x.hash[use], lang[x.doc[x.token[use]]]))]
+            d = x.doc[x.token[order]]
+            h, g = x.hash[order], lang[d]
+            new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+            k = np.flatnonzero(new)
+            first = np.r_[True, d[1:] != d[:-1]] | new
+            self.counts.append(np.column_stack([g[k], h[k].view(np.int64), *[np.add.reduceat(v.astype(np.int64), k) for v in (sentence[order], fragment[order], first)]]))
+            for i, v in zip(order[k], h[k].tolist()):
+                if v not in self.words:
+                    p = x.token[i]
+                    self.words[v] = "".join(map(chr, x.code[p : p + x.length[i]]))
+        grown = np.zeros((len(self.codes), _LETTERS + 1), np.int64)
+        grown[: len(self.letters)] = self.letters
+        seen = x.presence()
+        for i in np.unique(lang):
+            grown[i, :-1] += seen[lang == i].sum(axis=0)
+            grown[i, -1] += (lang == i).sum()
+        self.letters = grown
+        if len(self.counts) > 64:
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        """Counts of equal words added up."""
+        c = np.concatenate(self.counts) if self.counts else np.zeros((0, 5), np.int64)
+        c = c[np.lexsort((c[:, 1], c[:, 0]))]
+        if len(c):
+            k = np.flatnonzero(np.r_[True, (c[1:, :2] != c[:-1, :2]).any(axis=1)])
+            c = np.column_stack([c[k, :2], np.add.reduceat(c[:, 2:], k)])
+        self.counts = [c]
+        return c
+
+    def batch(self):
+        """What was added so far as a record batch; starts anew."""
+        import pyarrow as pa
 
+        names, c = list(self.codes), self.fold()
+        code, word = [names[i] for i in c[:, 0]], [self.words[v] for v in c[:, 1].view(np.uint64).tolist()]
+        g, of = np.nonzero(self.letters)
+        code += [names[i] for i in g]
+        word += [f" {k}" if k < _LETTERS else " " for k in of]
+        zero, docs = np.zeros(len(g), np.int64), self.letters[g, of]
+        numbers = [np.r_[c[:, 2], zero], np.r_[c[:, 3], zero], np.r_[c[:, 4], docs]]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(code, pa.string()), pa.array(word, pa.string()), *map(pa.array, numbers)], names=LEARNED.names)
 
-def _learn_partition(batches):
-    import pyarrow as pa
 
-    total: dict[tuple, np.ndarray] = {}
+def _learn_partition(batches):
+    total = _Learned()
     for b in batches:
         texts, codes = _clean(b.column(0)), [declared(g) for g in b.column(1).to_pylist()]
-        for i, j in _portions(texts):
-            for code, word, *n in _learn_batch(texts[i:j], codes[i:j]):
-                at = total.get((code, word))
-                if at is None:
-                    total[code, word] = np.array(n)
-                else:
-                    at += n
-        if len(total) > 500_000:
-            yield _learned(total)
-            total = {}
-    if total:
-        yield _learned(total)
-
-
-def _learned(total: dict):
-    import pyarrow as pa
-
-    keys, n = list(total), np.array(list(total.values()))
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), *[pa.array(n[:, i]) for i in range(3)]], names=LEARNED.names)
+        for i, j in _portions(texts, 400_000):
+            total.add(texts[i:j], codes[i:j])
+        if len(total.words) > 500_000:
+            yield total.batch()
+    yield total.batch()
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", *, least_docs: int = 20, share: float = 0.001, ratio: float = 4.0, letter_docs: float = 0.02) -> Words:
