@@ -1,9 +1,10 @@
 """Implausible readings: phase-space thresholding, stuck runs and bounds.
 
 A series (source and band) is looked at in order of time, in numpy over many series
-at once. Series longer than ``block`` readings are cut into consecutive blocks of
+at once. Series longer than ``block`` readings are cut by count into consecutive blocks of
 about that length, each with a margin of readings of its neighbours, so no task holds
-more than a block of any series however large the series is. Order, runs and running
+more than a block of any series however large the series is and however its readings
+lie in time. Order, runs and running
 medians are the block's; usual error, thresholds of the ellipsoid, spread and the share
 that departs are those of the whole series (``whole_series``) and handed to its blocks.
 """
@@ -12,8 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyloom.functions.logbuckets import is_finite
 from skyloom.operators.selection import exact_quantiles
@@ -32,7 +34,8 @@ def implausible(readings: DataFrame, *, start: float = 61041.0, end: float = 617
     same (source_id, obs_id, band) are one reading. Rows with a null source_id or
     obs_id, or a band that isn't in ``bands``, are no readings and never listed. Null fields
     are missing: they make no reading implausible; one without mjd has no place in
-    its series and is only held against the bounds.
+    its series and is only held against the bounds, that below zero among them. Readings within
+    60 microseconds are in the order of a hash of obs_id.
 
     impossible: flux or flux_error NaN or infinite, flux_error <= 0, mjd NaN or
     outside [start, end), flux further below zero than ``how["below"]`` times both its
@@ -45,12 +48,20 @@ def implausible(readings: DataFrame, *, start: float = 61041.0, end: float = 617
     inside = (m >= start) & (m < end)
     bad = (m.isNotNull() & ~inside) | (f.isNotNull() & ~is_finite(f)) | (e.isNotNull() & (~is_finite(e) | (e <= 0)))
     bounds = r.where(bad).select("source_id", "obs_id", "band", F.lit(True).alias("impossible"))
-    placed = r.where(inside & (f.isNotNull() | e.isNotNull()))
+    # Readings without a place come along where their flux may be too far below zero.
+    placed = (
+        r.where(F.when(inside, f.isNotNull() | e.isNotNull()).otherwise(is_finite(f) & (f < 0)))
+        .withColumn("code", F.when(inside, order_code(m, F.col("obs_id"), start, end)))
+        .drop("mjd")
+    )
     long = long_series(placed, block)
-    series = in_blocks(placed, start, end, block, margin, long=long)
-    if not long.isEmpty():
-        cut = checkpointed(series.join(bounded_broadcast(long), KEYS))
-        series = series.join(bounded_broadcast(whole_series(cut, **how)), KEYS, "left")
+    if long.isEmpty():
+        series = placed.withColumn("blk", F.lit(0)).withColumn("core", F.lit(True))
+    else:
+        cut = checkpointed(blocks_of(placed.join(bounded_broadcast(long), KEYS), block, margin))
+        given = bounded_broadcast(whole_series(cut, **how))
+        short = placed.join(bounded_broadcast(long).select(*KEYS), KEYS, "left_anti").withColumn("blk", F.lit(0).cast("long")).withColumn("core", F.lit(True))
+        series = short.withColumn("given", F.lit(None).cast("array<double>")).unionByName(cut.join(given, KEYS, "left"))
     found = judged(series, **how)
     # Only what was found is grouped: deliveries of a reading, and both kinds of finding.
     flags = ("spike", "stuck", "error_spike")
@@ -58,131 +69,147 @@ def implausible(readings: DataFrame, *, start: float = 61041.0, end: float = 617
     return both.groupBy("source_id", "obs_id", "band").agg(*[F.bool_or(c).alias(c) for c in (*flags, "impossible")])
 
 
-def long_series(r: DataFrame, block: int) -> DataFrame:
-    """source_id and band of the series of more than ``block`` rows."""
-    return checkpointed(r.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(*KEYS))
+#: Bits of an order code: time in steps of 2^-40 of the survey (60 microseconds), then a hash.
+TIME_BITS, HASH_BITS = 40, 20
 
 
-def in_blocks(r: DataFrame, start: float, end: float, block: int, margin: int, bins: int = 4096, long: DataFrame | None = None) -> DataFrame:
-    """``r`` with columns ``blk`` and ``core``: blocks of long series by time.
+def order_code(mjd: Column, obs_id: Column, start: float, end: float) -> Column:
+    """A reading's place in the order of a series, as a long below 2^60: time, then a hash of obs_id."""
+    time = F.floor((mjd - F.lit(start)) / F.lit(end - start) * F.lit(float(1 << TIME_BITS))).cast("long")
+    return F.shiftleft(time, HASH_BITS) + F.pmod(F.xxhash64(obs_id), F.lit(1 << HASH_BITS))
 
-    Series of at most ``block`` rows are block 0. The others, of which there can be no more
-    than rows over ``block``, are cut at edges of a fine time histogram; a row within
-    ``margin`` rows of another block is repeated there with core false.
-    """
-    width = (end - start) / bins
-    keys = KEYS
-    long = long_series(r, block) if long is None else long
-    if long.isEmpty():
-        return r.withColumn("blk", F.lit(0)).withColumn("core", F.lit(True))
-    hot = bounded_broadcast(long)
-    slot = F.least(F.floor((F.col("mjd") - start) / width), F.lit(bins - 1)).cast("int")
-    hist = r.join(hot, keys).groupBy(*keys, slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-
-    def cut(key, pdf):
-        """Blocks of one series from its histogram of at most ``bins`` rows."""
-        pdf = pdf.sort_values("slot")
-        n, at = pdf["n"].to_numpy(), pdf["slot"].to_numpy()
-        before = np.cumsum(n) - n
-        blk = before // block
-        first = np.r_[True, blk[1:] != blk[:-1]]
-        i0 = np.flatnonzero(first)
-        i1 = np.r_[i0[1:], len(n)]
-        rows = []
-        for k, (a, b) in enumerate(zip(i0, i1)):
-            lo, hi = a, b
-            while lo > 0 and before[a] - before[lo] < margin:
-                lo -= 1
-            while hi < len(n) and before[hi - 1] + n[hi - 1] - before[b - 1] - n[b - 1] < margin:
-                hi += 1
-            rows.append((k, int(at[a]) if k else -1, int(at[b]) if b < len(n) else bins, int(at[lo]) if lo else -1, int(at[hi]) if hi < len(n) else bins))
-        out = pdf.iloc[:1][["source_id", "band"]].merge(_frame(rows), how="cross")
-        return out
 
-    cuts = hist.groupBy(*keys).applyInPandas(cut, "source_id bigint, band string, blk int, c0 int, c1 int, e0 int, e1 int")
-    per = checkpointed(cuts.groupBy(*keys).agg(F.collect_list(F.struct("blk", "c0", "c1", "e0", "e1")).alias("cuts")))
-    whole = F.array(F.struct(F.lit(0).alias("blk"), F.lit(-1).alias("c0"), F.lit(bins).alias("c1"), F.lit(-1).alias("e0"), F.lit(bins).alias("e1")))
-    placed = r.withColumn("slot", slot).join(bounded_broadcast(per, 20_000), keys, "left")
-    return (
-        placed.withColumn("k", F.explode(F.filter(F.coalesce("cuts", whole), lambda k: (F.col("slot") >= k["e0"]) & (F.col("slot") < k["e1"]))))
-        .withColumn("blk", F.col("k.blk"))
-        .withColumn("core", (F.col("slot") >= F.col("k.c0")) & (F.col("slot") < F.col("k.c1")))
-        .drop("cuts", "k", "slot")
-    )
+def long_series(r: DataFrame, block: int) -> DataFrame:
+    """source_id, band and n of the series of more than ``block`` rows, of which there are at most rows over ``block``."""
+    return checkpointed(r.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
+
 
+def in_blocks(r: DataFrame, start: float, end: float, block: int, margin: int) -> DataFrame:
+    """``r`` with columns code, ``blk`` and ``core``; series of at most ``block`` rows are block 0 (see ``blocks_of``)."""
+    r = r.withColumn("code", order_code(F.col("mjd"), F.col("obs_id") if "obs_id" in r.columns else F.lit(""), start, end))
+    long = long_series(r, block)
+    short = r.join(bounded_broadcast(long).select(*KEYS), KEYS, "left_anti").withColumn("blk", F.lit(0).cast("long")).withColumn("core", F.lit(True))
+    return short.unionByName(blocks_of(r.join(bounded_broadcast(long), KEYS), block, margin))
 
-def _frame(rows):
-    import pandas as pd
 
-    return pd.DataFrame(rows, columns=["blk", "c0", "c1", "e0", "e1"])
+def blocks_of(r: DataFrame, block: int, margin: int) -> DataFrame:
+    """Rows of long series (with column n, their rows) without copies, each in its block and, with
+    core false, in a neighbouring one if fewer than ``margin`` rows lie between.
+
+    A series is counted in slots of its order code, at first 32 to a block of evenly spread
+    rows; slots of more than a sixteenth of a block are split into 256, as often as need be.
+    At the end only copies of a row have equal codes (but for a coincidence of hashes), and these
+    are taken out first. Blocks are made of whole slots by their running count, so
+    they hold at most block / 16 rows more than ``block``, and what is
+    ordered is slots, not rows. Rows without a code are in the first slot.
+    """
+    if 2 * margin > block:
+        raise ValueError("margin must be at most half a block")
+    bits = TIME_BITS + HASH_BITS
+    shift = F.greatest(F.lit(bits) - F.ceil(F.log2(32.0 * F.col("n") / F.lit(block))), F.lit(0)).cast("int")
+
+    def slot() -> Column:
+        return F.expr("shiftleft(shiftright(coalesce(code, 0L), _shift), _shift)")
+
+    rows = checkpointed(r.dropDuplicates([c for c in r.columns if c != "n"]).withColumn("_shift", shift).drop("n").withColumn("_slot", slot()))
+    while True:
+        counts = checkpointed(rows.groupBy(*KEYS, "_slot", "_shift").agg(F.count(F.lit(1)).alias("_n")))
+        full = counts.where((F.col("_n") > block / 16) & (F.col("_shift") > 0)).select(*KEYS, "_slot", F.lit(True).alias("_full"))
+        if full.isEmpty():
+            break
+        finer = rows.join(bounded_broadcast(full), [*KEYS, "_slot"], "left").withColumn("_shift", F.when(F.col("_full"), F.greatest(F.col("_shift") - 8, F.lit(0))).otherwise(F.col("_shift")))
+        rows = checkpointed(finer.drop("_full", "_slot").withColumn("_slot", slot()))
+    order = Window.partitionBy(*KEYS).orderBy("_slot")
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    of = Window.partitionBy(*KEYS, "_blk")
+    slots = (
+        counts.withColumn("_end", upto)
+        .withColumn("_blk", F.floor((F.col("_end") - F.col("_n")) / F.lit(block)).cast("long"))
+        .withColumn("_first", F.min(F.col("_end") - F.col("_n")).over(of))
+        .withColumn("_last", F.max("_end").over(of))
+        .withColumn("_final", F.max("_blk").over(Window.partitionBy(*KEYS)))
+    )
+    b = F.col("_blk")
+    near = F.array(
+        F.when((b > 0) & (F.col("_end") - F.col("_n") - F.col("_first") < margin), b - 1),
+        b,
+        F.when((b < F.col("_final")) & (F.col("_last") - F.col("_end") < margin), b + 1),
+    )
+    blocks = slots.select(*KEYS, "_slot", "_blk", near.alias("_near"))
+    return (
+        rows.join(bounded_broadcast(checkpointed(blocks)), [*KEYS, "_slot"])
+        .withColumn("blk", F.explode(F.array_compact("_near")))
+        .withColumn("core", F.col("blk") == F.col("_blk"))
+        .drop("_slot", "_shift", "_blk", "_near")
+    )
 
 
 FOUND = "source_id bigint, obs_id string, band string, spike boolean, stuck boolean, error_spike boolean, impossible boolean, level double, spread double"
 
 
 #: Figures of a whole series that ``judge`` takes instead of its own, in the order of the column ``given``.
-GIVEN = ("usual", "n", "median", "sd_r", "a_theta", "a_x", "a_d1", "a_z", "a_u", "spread", "own", "own_spread", "b_theta", "b_x", "b_d1", "b_z", "b_u")
+GIVEN = ("usual", "n", "median", "theta", "x", "d1", "z", "u", "spread", "own", "own_spread")
 TRACE = "source_id bigint, band string, flux double, level double, ok boolean, plain boolean, u double, d1 double, d2 double"
 
 
-def whole_series(cut: DataFrame, *, times: float = 7.25, usual_share: float = 0.1, **how) -> DataFrame:
+def whole_series(cut: DataFrame, *, times: float = 8.0, usual_share: float = 0.1, **how) -> DataFrame:
     """source_id, band, given: the figures ``GIVEN`` of each series of ``cut``, the blocks of long series.
 
     Three passes, each with the figures of those before: the usual error; with each
-    block's own ordinary readings the noise and the ellipsoid that leaves out candidates;
-    with the ordinary readings that follow from these the spread, the departing share and
-    the last ellipsoid. Counts, sums and medians are exact and of the whole series.
+    block's own ordinary readings the ellipsoid that leaves out candidates;
+    with the ordinary readings that follow from these the spread and the departing
+    share. Counts, sums and medians are exact and of the whole series.
     """
     how = how | {"times": times, "usual_share": usual_share}
-    once = cut.where("core").groupBy(*KEYS, "obs_id").agg(F.min(F.struct("mjd", F.col("flux").isNull().alias("no_f"), "flux", F.col("flux_error").isNull().alias("no_e"), "flux_error")).alias("r"))
+    once = cut.where("core AND code IS NOT NULL").groupBy(*KEYS, "obs_id").agg(F.min(F.struct("code", F.col("flux").isNull().alias("no_f"), "flux", F.col("flux_error").isNull().alias("no_e"), "flux_error")).alias("r"))
     error = once.where("r.flux_error > 0").select(*KEYS, F.col("r.flux_error").alias("e"))
     known = cut.select(*KEYS).distinct().join(exact_quantiles(error, KEYS, "e", {"usual": 0.5}).drop("n"), KEYS, "left")
 
     def handed(g: DataFrame) -> DataFrame:
         return g.select(*KEYS, F.array(*[(F.col(c) if c in g.columns else F.lit(None)).cast("double") for c in GIVEN]).alias("given"))
 
-    def traced(g: DataFrame, which: str) -> DataFrame:
-        return checkpointed(judged(cut.join(bounded_broadcast(handed(g)), KEYS), trace=which, **how))
+    def traced(g: DataFrame) -> DataFrame:
+        return checkpointed(judged(cut.join(bounded_broadcast(handed(g)), KEYS), trace=True, **how))
 
     known = checkpointed(known)
-    t = traced(known, "a")
-    noise = t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(F.when(F.col("ok"), F.col("flux") - F.col("level"))).alias("sd_r"))
-    known = checkpointed(known.join(noise, KEYS, "left").join(_ellipsoids(t, "a"), KEYS, "left"))
-    t = traced(known, "b")
-    spread = checkpointed(t.groupBy(*KEYS).agg(F.when(F.count_if("ok") >= 4, F.stddev_samp(F.when(F.col("ok"), F.col("flux")))).alias("spread")))
-    far = F.col("plain") & (F.abs(F.col("flux") - F.col("level")) >= times * F.col("spread")) & (F.col("spread") > 0)
+    t = traced(known)
+    known = checkpointed(known.join(t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS, "left").join(_ellipsoids(t), KEYS, "left"))
+    t = traced(known)
+    spread = checkpointed(t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.when(F.count_if("ok") >= 4, F.stddev_samp(F.when(F.col("ok"), F.col("flux")))).alias("spread")))
+    axes = F.expr(f"pow(u / ({_reach_sql('n', times)} * spread), 2) + 2 * pow(d1 / ({_reach_sql('n', times)} * spread), 2) + pow((d2 + 2 * u) / ({_reach_sql('n', times)} * spread), 2) / 2")
+    far = F.coalesce(F.col("plain") & (F.col("spread") > 0) & (axes > 1), F.lit(False))
     own = (
         t.join(bounded_broadcast(spread), KEYS)
         .groupBy(*KEYS)
         .agg((F.count_if(far) > F.greatest(usual_share * F.count(F.lit(1)), F.lit(3))).alias("own"), F.stddev_samp(F.when(F.col("ok") | far, F.col("flux"))).alias("own_spread"))
     )
-    return checkpointed(handed(known.join(spread, KEYS, "left").join(own, KEYS, "left").join(_ellipsoids(t, "b").drop("median"), KEYS, "left")))
+    return checkpointed(handed(known.join(spread.drop("n"), KEYS, "left").join(own, KEYS, "left")))
 
 
-def _ellipsoids(t: DataFrame, p: str) -> DataFrame:
-    """Rotation and median absolute deviations of ``_outside_ellipsoid`` over the whole series, and the median flux."""
-    turn = checkpointed(t.groupBy(*KEYS).agg(F.atan2(F.sum(F.col("u") * F.col("d2")), F.sum(F.col("u") * F.col("u"))).alias("theta")))
+def _ellipsoids(t: DataFrame) -> DataFrame:
+    """Rotation and median absolute deviations of ``_candidates`` over the whole series, and the median flux."""
+    turn = checkpointed(t.groupBy(*KEYS).agg(F.atan2(F.sum(F.when(F.col("ok"), F.col("u") * F.col("d2"))), F.sum(F.when(F.col("ok"), F.col("u") * F.col("u")))).alias("theta")))
     c, s = F.cos("theta"), F.sin("theta")
-    v = {"median": F.col("flux"), f"{p}_x": F.col("u") * c + F.col("d2") * s, f"{p}_d1": F.col("d1"), f"{p}_z": F.col("d2") * c - F.col("u") * s, f"{p}_u": F.col("u")}
+    v = {"median": F.col("flux"), "x": F.col("u") * c + F.col("d2") * s, "d1": F.col("d1"), "z": F.col("d2") * c - F.col("u") * s, "u": F.col("u")}
     each = t.where("ok").join(bounded_broadcast(turn), KEYS).select(*KEYS, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), x.alias("v")) for k, x in v.items()])).alias("x")).select(*KEYS, "x.*")
     mid = checkpointed(exact_quantiles(each, [*KEYS, "name"], "v", {"m": 0.5}).drop("n"))
     off = each.where(F.col("name") != "median").join(bounded_broadcast(mid), [*KEYS, "name"]).select(*KEYS, "name", F.abs(F.col("v") - F.col("m")).alias("v"))
     mad = exact_quantiles(off, [*KEYS, "name"], "v", {"m": 0.5}).select(*KEYS, "name", (1.4826 * F.col("m")).alias("m"))
     every = mid.where(F.col("name") == "median").unionByName(mad)
     wide = every.groupBy(*KEYS).agg(*[F.max(F.when(F.col("name") == k, F.col("m"))).alias(k) for k in v])
-    return wide.join(turn.withColumnRenamed("theta", f"{p}_theta"), KEYS)
+    return wide.join(turn, KEYS)
 
 
-def judged(series: DataFrame, at_once: int = 100_000, trace: str = "", **how) -> DataFrame:
+def judged(series: DataFrame, at_once: int = 100_000, trace: bool = False, **how) -> DataFrame:
     """The readings of ``series`` (from ``in_blocks``) that ``judge`` finds.
 
     A column ``given`` holds what is known of the whole series, null for series in one
-    block. trace: ``a`` or ``b`` for what ``whole_series`` needs of each reading instead.
+    block. trace: what ``whole_series`` needs of each reading instead.
     """
     if "given" not in series.columns:
         series = series.withColumn("given", F.lit(None).cast("array<double>"))
-    cols = ["source_id", "band", "blk", "mjd", "obs_id", "flux", "flux_error", "core", "given"]
-    ready = series.select(*cols).repartition("source_id", "band", "blk").sortWithinPartitions("source_id", "band", "blk", "mjd", "obs_id", F.col("flux").asc_nulls_last(), F.col("flux_error").asc_nulls_last())
+    cols = ["source_id", "band", "blk", "code", "obs_id", "flux", "flux_error", "core", "given"]
+    ready = series.select(*cols).repartition("source_id", "band", "blk").sortWithinPartitions("source_id", "band", "blk", "code", "obs_id", F.col("flux").asc_nulls_last(), F.col("flux_error").asc_nulls_last())
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -223,7 +250,7 @@ def _last_series(t: pa.Table) -> int:
     return int(np.flatnonzero(_codes(t))[-1])
 
 
-def _judge_table(t: pa.Table, how: dict, trace: str = ""):
+def _judge_table(t: pa.Table, how: dict, trace: bool = False):
     t = t.combine_chunks()
     new = _codes(t)
     obs = t["obs_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -233,10 +260,19 @@ def _judge_table(t: pa.Table, how: dict, trace: str = ""):
     keep = ~again
     seg = np.cumsum(new)[keep] - 1
     flux, err = (t[c].to_numpy(zero_copy_only=False)[keep] for c in ("flux", "flux_error"))
+    loose = np.asarray(t["code"].combine_chunks().is_null())[keep]
+    lost, lost_e = np.where(loose, flux, np.nan), np.where(loose, err, np.nan)
+    flux, err = np.where(loose, np.nan, flux), np.where(loose, np.nan, err)
     none = [None] * len(GIVEN)
     given = np.array([x or none for x in t["given"].take(pa.array(np.flatnonzero(new))).to_pylist()], float).reshape(-1, len(GIVEN))
     r = judge(seg, flux, err, given={k: given[seg, i] for i, k in enumerate(GIVEN)}, trace=trace, **how)
     core = t["core"].to_numpy(zero_copy_only=False)[keep]
+    if loose.any() and not trace:
+        s = _Series(seg)
+        spread, usual = (np.fmax.reduceat(r[k], s.start)[s.id] for k in ("spread", "usual"))
+        with np.errstate(invalid="ignore"):
+            e = np.where(np.isfinite(lost_e) & (lost_e > 0) & (lost_e < how.get("error_times", 8.0) * usual), lost_e, usual)
+            r["impossible"] |= loose & (lost < -how.get("below", 6.0) * np.fmax(e, spread))
     if trace:
         hit = core & np.isfinite(flux)
         out = t.select(["source_id", "band"]).take(pa.array(np.flatnonzero(keep)[hit]))
@@ -292,15 +328,15 @@ class _Series:
                 out[a : a + step] = np.where(n >= 3, w[r, np.maximum((n - 1) // 2, 0)] / 2 + w[r, np.minimum(n // 2, 2 * half)] / 2, np.nan)
         return out
 
-    def difference(self, v):
-        """Central difference within each series, one-sided at its ends."""
-        if not self.n:
-            return v.copy()
-        i = np.arange(self.n)
-        first = self.start[self.id]
-        last = first + self.size[self.id] - 1
-        a, b = np.maximum(i - 1, first), np.minimum(i + 1, last)
-        return (v[b] - v[a]) / np.maximum(b - a, 1)
+    def phase(self, u, ok, lag):
+        """First and second difference of u over ``lag`` places; what isn't ok or there counts as 0."""
+        v = np.where(ok, u, 0.0)
+        a, b = np.zeros(self.n), np.zeros(self.n)
+        if self.n > lag:
+            same = self.id[lag:] == self.id[:-lag]
+            a[lag:] = np.where(same, v[:-lag], 0.0)
+            b[:-lag] = np.where(same, v[lag:], 0.0)
+        return (b - a) / 2, b - 2 * u + a
 
     def runs(self, flag):
         """Length of the run of equal flags within the series, for every place."""
@@ -312,22 +348,24 @@ class _Series:
 
 
 def judge(
-    seg: np.ndarray, flux: np.ndarray, err: np.ndarray, *, times: float = 7.25, error_times: float = 8.0, longest: int = 3, stuck: int = 4, equal: float = 1e-6, below: float = 6.0, half: int = 7, rounds: int = 12, usual_share: float = 0.1, given: dict[str, np.ndarray] | None = None, trace: str = ""
+    seg: np.ndarray, flux: np.ndarray, err: np.ndarray, *, times: float = 8.0, error_times: float = 8.0, longest: int = 3, stuck: int = 4, equal: float = 1e-6, below: float = 6.0, half: int = 7, rounds: int = 12, usual_share: float = 0.1, given: dict[str, np.ndarray] | None = None, trace: bool = False
 ) -> dict[str, np.ndarray]:
     """Judge readings sorted by series ``seg`` and time; NaN flux or err means missing.
 
     stuck: in a run of at least ``stuck`` readings whose flux stays within ``equal`` (relative).
     error_spike: err at least ``error_times`` the series' median error, in a run of at
     most ``longest`` such readings.
-    spike: phase-space thresholding finds candidates: value u (flux less its running
-    median), first difference and second difference are held against a robust
-    ellipsoid (median absolute deviations times the universal threshold sqrt(2 ln n),
-    the value-curvature plane turned by their regression); what lies outside is
-    left out of level and spread (unless that made a departure of more than ``longest``
-    readings), and the rounds repeat until none is new. Over the then final ellipsoid, a
-    reading outside is a spike if it departs from the level by at least ``times`` the
-    standard deviation of the series' ordinary readings (noise and own variation)
-    and no more than ``longest`` consecutive readings stay off by half as much on the
+    spike: phase-space thresholding. A place is value u (flux less its running median),
+    first and second difference over ``longest`` + 1 readings, so that all readings of a
+    spike have ordinary ones at both ends. Rounds: what lies outside a robust ellipsoid
+    (median absolute deviations times the universal threshold sqrt(2 ln n), the
+    value-curvature plane turned by their regression) is left out of level, deviations
+    and spread until none is new; a departure of more than ``longest`` readings only at the
+    end, as the level must first follow what lasts. Then the ellipsoid is that of the spread, the standard deviation of
+    the ordinary readings left (noise and own variation): ``times`` (less one standard
+    error, see ``_reach``) its axes, that of the value as long as the spread and the
+    others as ordinary readings' differences then are. A reading outside is a
+    spike if no more than ``longest`` consecutive readings stay off by half as much on the
     same side. If more than ``usual_share``
     of a series (and more than 3 readings) departs, that counts as its own variation.
     Series of fewer than 4 ordinary readings have no spikes.
@@ -342,7 +380,7 @@ def judge(
     usual = _known(given["usual"], s_all, s_all.median(err, have_e))[s_all.id] if n else err
     with np.errstate(invalid="ignore", divide="ignore"):
         high = have_e & (err >= error_times * usual)
-    out = {k: np.zeros(n, bool) for k in ("spike", "stuck", "error_spike", "impossible")} | {k: np.full(n, np.nan) for k in ("level", "spread")}
+    out = {k: np.zeros(n, bool) for k in ("spike", "stuck", "error_spike", "impossible")} | {k: np.full(n, np.nan) for k in ("level", "spread")} | {"usual": usual}
     at_e = np.flatnonzero(np.isfinite(err))
     if len(at_e):
         s_e = _Series(seg[at_e])
@@ -353,14 +391,16 @@ def judge(
     if not len(at):
         return out
     with np.errstate(all="ignore"):
-        spike, still, level, spread, ok, plain = _judge_flux(seg[at], flux[at], have_e[at] & ~high[at] | ~np.isfinite(err[at]), times, longest, stuck, equal, half, rounds, usual_share, {k: v[at] for k, v in given.items()})
+        # Errors that are high for long are no error spikes; the flux beside them counts.
+        sound = ~out["error_spike"][at]
+        spike, still, level, spread, ok, plain = _judge_flux(seg[at], flux[at], sound & (have_e[at] | ~np.isfinite(err[at])), times, longest, stuck, equal, half, rounds, usual_share, {k: v[at] for k, v in given.items()})
         e = np.where(have_e[at] & ~high[at], err[at], usual[at])
         out["impossible"][at] = flux[at] < -below * np.fmax(e, spread)
         if trace:
             s = _Series(seg[at])
-            u = np.where(ok, flux[at], level) - level if trace == "a" else flux[at] - level
-            d1 = s.difference(u)
-            out["ok"][at], out["plain"][at], out["u"][at], out["d1"][at], out["d2"][at] = ok, plain, u, d1, s.difference(d1)
+            u = flux[at] - level
+            out["ok"][at], out["plain"][at], out["u"][at] = ok, plain, u
+            out["d1"][at], out["d2"][at] = s.phase(u, ok, longest + 1)
     out["spike"][at], out["stuck"][at], out["level"][at], out["spread"][at] = spike, still, level, spread
     return out
 
@@ -371,8 +411,22 @@ def _known(given, s, own):
     return np.where(np.isnan(g), own, g)
 
 
+def _reach(n, times: float, half: float = 7.0):
+    """``times`` less one standard error of a departure in units of the spread.
+
+    The spread of n readings is known to 1 / sqrt(2 n) of itself, the median of 2 half + 1
+    readings to 1.25 / sqrt(2 half + 1) deviations: what was ``times`` off may come out at this.
+    """
+    return times - np.sqrt(times**2 / (2 * np.maximum(n, 4)) + 1.25**2 / (2 * half + 1))
+
+
+def _reach_sql(n: str, times: float, half: float = 7.0) -> str:
+    return f"({times}D - sqrt({times**2}D / (2 * greatest({n}, 4)) + {1.25**2 / (2 * half + 1)}D))"
+
+
 def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, usual_share, given):
     s = _Series(seg)
+    lag = longest + 1
     step = np.zeros(s.n, bool)
     step[1:] = (np.abs(flux[1:] - flux[:-1]) <= equal * np.abs(flux[1:])) & (s.id[1:] == s.id[:-1])
     k = np.cumsum(~step) - 1
@@ -383,41 +437,37 @@ def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, us
         lv = s.rolling_median(flux, ok, half)
         return np.where(np.isnan(lv), _known(median, s, s.median(flux, ok))[s.id], lv)
 
-    outside = np.zeros(s.n, bool)
+    outside, lasting = np.zeros(s.n, bool), np.zeros(s.n, bool)
     at = np.arange(s.n)  # of the series in which the last round found something
     for _ in range(rounds):
         sub = _Series(seg[at])
         ok = plain[at] & ~outside[at]
-        level = level_of(sub, flux[at], ok, given["median"][at])
-        new = _outside_ellipsoid(sub, np.where(ok, flux[at], level), ok, level, {k: v[at] for k, v in given.items()}, "a")
+        u = flux[at] - level_of(sub, flux[at], ok, given["median"][at])
+        new = ok & _candidates(sub, u, ok, lag, {k: v[at] for k, v in given.items()})
         # The strongest first: the weaker ones may only be their shadows in the differences.
-        u = np.where(new, np.abs(flux[at] - level), 0.0)
-        new &= u >= 0.25 * np.maximum.reduceat(u, sub.start)[sub.id]
+        size = np.where(new, np.abs(u), 0.0)
+        new &= size >= 0.25 * np.maximum.reduceat(size, sub.start)[sub.id]
         # What would make a departure longer than a spike's is a change that lasts.
+        lasting[at[new & (sub.runs(outside[at] | new) > longest)]] = True
         new &= sub.runs(outside[at] | new) <= longest
         outside[at[new]] = True
         busy = sub.sum(new.astype(float)) > 0
         if not busy.any():
             break
         at = at[busy[sub.id]]
-    ok = plain & ~outside
+    ok = plain & ~outside & ~lasting
+    level = level_of(s, flux, ok | lasting, given["median"])
     # Ordinary readings: take back what lies within reach of noise and own variation.
-    sd_r = None
     for _ in range(8):
-        level = level_of(s, flux, ok, given["median"])
         res = flux - level
         m = s.sum(ok.astype(float))
-        mean_r = s.sum(np.where(ok, res, 0)) / np.maximum(m, 1)
-        if sd_r is None:  # robust at first: short changes must not hide what they resemble
-            sd_r = 1.4826 * s.median(np.abs(res - s.median(res, ok)[s.id]), ok)
-        else:
-            sd_r = np.sqrt(s.sum(np.where(ok, (res - mean_r[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
-        sd_r = _known(given["sd_r"], s, sd_r)
-        back = plain & (np.abs(res) < 6 * sd_r[s.id])
+        mean = s.sum(np.where(ok, res, 0)) / np.maximum(m, 1)
+        sd = np.sqrt(s.sum(np.where(ok, (res - mean[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
+        back = ok | plain & (np.abs(res) < TAKE_BACK * sd[s.id])
         if (back == ok).all():
             break
         ok = back
-    level = level_of(s, flux, ok, given["median"])
+        level = level_of(s, flux, ok | lasting, given["median"])
 
     def spread_of(ok):
         m = s.sum(ok.astype(float))
@@ -425,30 +475,43 @@ def _judge_flux(seg, flux, plain, times, longest, stuck, equal, half, rounds, us
         sd = np.sqrt(s.sum(np.where(ok, (flux - mean[s.id]) ** 2, 0)) / np.maximum(m - 1, 1))
         return np.where(m >= 4, sd, np.nan)
 
+    reach = _reach(_known(given["n"], s, s.size), times)[s.id]
     spread = _known(given["spread"], s, spread_of(ok))[s.id]
-    far = plain & (np.abs(flux - level) >= times * spread) & (spread > 0)
+    far = plain & _outside(s, flux - level, ok, lag, reach * spread)
     # Where a good part of a series departs, that is how the source varies.
     own = _known(given["own"], s, s.sum(far.astype(float)) > np.maximum(usual_share * s.size, 3))[s.id] > 0
     spread = np.where(own, _known(given["own_spread"], s, spread_of(ok | far & own))[s.id], spread)
-    far &= np.abs(flux - level) >= times * spread
-    far &= _outside_ellipsoid(s, flux, ok, level, given, "b")
+    far &= _outside(s, flux - level, ok, lag, reach * spread)
     # A departure lasts as long as readings stay off on the same side by half as much.
-    side = np.where(np.abs(flux - level) >= times / 2 * spread, np.sign(flux - level), 0.0)
+    side = np.where(np.abs(flux - level) >= reach / 2 * spread, np.sign(flux - level), 0.0)
     spike = far & (s.runs(side) <= longest)
     return spike, still, level, spread, ok, plain
 
 
-def _outside_ellipsoid(s, flux, ok, level, given, p):
+# Deviations from the level within which a candidate is an ordinary reading after all.
+TAKE_BACK = 6.0
+
+
+def _outside(s, u, ok, lag, axis):
+    """Outside the ellipsoid over value and differences whose value axis is ``axis``?
+
+    Of independent readings the first difference has half the value's variance; the second
+    follows from the value (minus twice it), with twice its variance left over.
+    """
+    d1, d2 = s.phase(u, ok, lag)
+    rho = (u / axis) ** 2 + 2 * (d1 / axis) ** 2 + ((d2 + 2 * u) / axis) ** 2 / 2
+    return (axis > 0) & (rho > 1)
+
+
+def _candidates(s, u, ok, lag, given):
     """Readings outside the robust ellipsoid over value, first and second difference."""
 
     def mad(v, name):
-        return _known(given[f"{p}_{name}"], s, 1.4826 * s.median(np.abs(v - s.median(v, ok)[s.id]), ok))[s.id]
+        return _known(given[name], s, 1.4826 * s.median(np.abs(v - s.median(v, ok)[s.id]), ok))[s.id]
 
     lam = np.sqrt(2 * np.log(np.maximum(_known(given["n"], s, s.size), 3)))[s.id]
-    u = flux - level
-    d1 = s.difference(u)
-    d2 = s.difference(d1)
-    theta = _known(given[f"{p}_theta"], s, np.arctan2(s.sum(u * d2), s.sum(u * u)))[s.id]
+    d1, d2 = s.phase(u, ok, lag)
+    theta = _known(given["theta"], s, np.arctan2(s.sum(np.where(ok, u * d2, 0)), s.sum(np.where(ok, u * u, 0))))[s.id]
     x, z = u * np.cos(theta) + d2 * np.sin(theta), d2 * np.cos(theta) - u * np.sin(theta)
     rho = np.zeros(s.n)
     for v, name in ((x, "x"), (d1, "d1"), (z, "z")):

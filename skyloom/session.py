@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings every session of this engine wants; a cluster's own values win.
 DEFAULTS = {
@@ -79,15 +80,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast only if it really has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes a row takes in memory, about: fixed widths, and the lengths of texts and arrays."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            total = total + 8 * (len(f.dataType.fields) if isinstance(f.dataType, T.StructType) else 1)
+    return total
 
-    ``df`` should be cheap to run again or already materialised. Above the limit
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows of ``max_bytes`` together.
+
+    ``df`` should be cheap to run again or already materialised. Above a limit
     it is returned unmarked and Catalyst plans a shuffled join, which AQE splits
     where keys are skewed.
     """
-    few = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if few <= max_rows else df
+    few = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if few["n"] <= max_rows and few["b"] <= max_bytes else df
 
 
 def local_path(uri: str) -> str | None:

@@ -218,6 +218,59 @@ def test_long_varying_series_is_judged_as_a_whole(spark):
     assert {f"o{i:05}" for i in quiet} <= set(small)
 
 
+def test_a_drifting_series_is_judged_alike_in_any_block(spark):
+    """Noise that grows after the first third, in one series of 50,000 readings."""
+    rng = np.random.default_rng(11)
+    n = 50_000
+    t = np.sort(rng.uniform(61041, 61761, n))
+    noise = np.where(np.arange(n) < n // 3, 1.0, 4.0)
+    f = 200 + rng.normal(0, 1, n) * noise
+    at = np.arange(500, n - 500, 2500)
+    f[at] += np.resize([10.0, 60.0], len(at))
+    df = readings(spark, rows_of(1, t, f, noise)).repartition(4)
+    got = [{(r["obs_id"], r["spike"]) for r in spikes.implausible(df, block=b).collect()} for b in (20_000, 1_000_000)]
+    assert got[0] == got[1] and {f"o{i:05}" for i in at[1::2]} == {o for o, x in got[0] if x}
+
+
+def test_blocks_are_bounded_however_readings_lie(spark):
+    """Half the readings at one moment, and one delivered again and again: no block is large."""
+    rng = np.random.default_rng(12)
+    rows = [(1, f"a{i}", "D1", 61100.0, 1.0, 1.0) for i in range(2000)] + [(1, f"b{i}", "D1", float(x), 1.0, 1.0) for i, x in enumerate(rng.uniform(61041, 61761, 2000))]
+    rows += [(1, "again", "D1", 61200.0, 1.0, 1.0)] * 3000
+    df = readings(spark, rows).select("source_id", "obs_id", "band", "mjd", "flux", "flux_error")
+    b = spikes.in_blocks(df, 61041.0, 61761.0, 400, 32)
+    sizes = {r["blk"]: (r["n"], r["c"]) for r in b.groupBy("blk").agg(F.count("*").alias("n"), F.count_if("core").alias("c")).collect()}
+    assert sum(c for _, c in sizes.values()) == 4001 and max(c for _, c in sizes.values()) <= 400 + 25 and max(n for n, _ in sizes.values()) <= 400 + 25 + 4 * 32
+    rows = sorted((tuple(r) for r in b.select("blk", "code", "core", "obs_id").collect()))
+    core = sorted((c, o, k) for k, c, x, o in rows if x)
+    assert [k for _, _, k in core] == sorted(k for _, _, k in core)  # blocks follow the order
+    for k in range(1, max(sizes) - 1):  # the last block may be short
+        mine = [r for r in rows if r[0] == k]
+        assert sum(not r[2] for r in mine) >= 64
+
+
+def test_the_ellipsoid_and_its_rounds_decide(monkeypatch):
+    rng = np.random.default_rng(13)
+    t, f, e = series(rng, 400)
+    f[np.arange(20, 390, 30)] += 40
+    seg = np.zeros(400)
+    found = spikes.judge(seg, f, e)["spike"]
+    assert found.sum() == 13
+    assert spikes.judge(seg, f, e, rounds=0)["spike"].sum() < 13
+    monkeypatch.setattr(spikes, "_outside", lambda s, u, ok, lag, axis: np.ones(s.n, bool))
+    assert spikes.judge(seg, f, e)["spike"].sum() != 13
+
+
+def test_negative_flux_without_a_time(spark):
+    rng = np.random.default_rng(14)
+    t, f, e = series(rng, 60)
+    rows = rows_of(1, t, f, e) + [(1, "low", "D1", None, -500.0, 2.0), (1, "fine", "D1", None, -3.0, 2.0), (1, "late", "D1", 70000.0, -500.0, 2.0), (2, "alone", "D1", None, -500.0, 2.0)]
+    got = {r["obs_id"]: r["impossible"] for r in spikes.implausible(readings(spark, rows)).collect()}
+    assert got == {"low": True, "late": True, "alone": True}
+    got = {r["obs_id"]: r["impossible"] for r in spikes.implausible(readings(spark, rows), block=40, margin=16).collect()}
+    assert got == {"low": True, "late": True, "alone": True}
+
+
 def test_judge_over_many_series_equals_one_by_one():
     rng = np.random.default_rng(5)
     parts = []
