@@ -257,8 +257,13 @@ def test_the_ellipsoid_and_its_rounds_decide(monkeypatch):
     found = spikes.judge(seg, f, e)["spike"]
     assert found.sum() == 13
     assert spikes.judge(seg, f, e, rounds=0)["spike"].sum() < 13
-    monkeypatch.setattr(spikes, "_outside", lambda s, u, ok, lag, axis: np.ones(s.n, bool))
-    assert spikes.judge(seg, f, e)["spike"].sum() != 13
+    real = spikes._outside
+    f[np.arange(35, 390, 30)] += 10  # five times the noise
+    counts = []
+    for wide in (0.5, 1.0, 4.0):
+        monkeypatch.setattr(spikes, "_outside", lambda s, u, ok, lag, axis: real(s, u, ok, lag, wide * axis))
+        counts.append(int(spikes.judge(seg, f, e)["spike"].sum()))
+    assert counts[0] > 20 and counts[1:] == [13, 0]
 
 
 def test_negative_flux_without_a_time(spark):
