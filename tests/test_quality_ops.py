@@ -263,7 +263,7 @@ def test_the_ellipsoid_and_its_rounds_decide(monkeypatch):
     for wide in (0.5, 1.0, 4.0):
         monkeypatch.setattr(spikes, "_outside", lambda s, u, ok, lag, axis: real(s, u, ok, lag, wide * axis))
         counts.append(int(spikes.judge(seg, f, e)["spike"].sum()))
-    assert counts[0] > 20 and counts[1:] == [13, 0]
+    assert counts[0] > 15 and counts[1:] == [13, 0]
 
 
 def test_negative_flux_without_a_time(spark):
