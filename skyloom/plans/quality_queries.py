@@ -14,8 +14,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = profile.profile(spark, table(spark, d, "lightcurve"), profile.lightcurve_rules(), distinct=False)  # p2_footers has the distinct values
-    return p.select("load_id", "column_name", "n_rows", "n_null", "n_nan", "n_broken", "min", "max", F.round("null_rate", 9).alias("null_rate"))
+    p = profile.profile(spark, table(spark, d, "lightcurve"), profile.lightcurve_rules())
+    return p.select("load_id", "column_name", "n_rows", "n_null", "n_nan", "n_broken", "min", "max", F.round("null_rate", 9).alias("null_rate"), "n_distinct")
 
 
 def p2_footers(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,17 @@ def p2_footers(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_footer_extrema(spark: SparkSession, d: str) -> DataFrame:
     """What footers and, where they don't do, scans say of each load's columns."""
-    return p2_footers(spark, d).select("load_id", "column_name", "n_rows", "n_null", "min", "max")
+    return p2_footers(spark, d).select("load_id", "column_name", "n_rows", "n_null", "min", "max", "n_distinct")
+
+
+def p2_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The footers' profile of the table written by load; ``flag`` then needs hardly a row read."""
+    by_load = profile.written_by_load(table(spark, d, "lightcurve").select("load_id", "mag_ab", "flag", "wavelength", "snr"), run_dir(spark, "by-load"))
+    return profile.footer_profile(spark, by_load, ["mag_ab", "flag", "wavelength", "snr"])
+
+
+def p2_layout_profile(spark: SparkSession, d: str) -> DataFrame:
+    return p2_layout(spark, d).drop("scanned_share")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,14 +81,14 @@ def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(rejects)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p2_footer_extrema, p3_found, p4_found, p4_grid, p4_flux, p4_support, p5_found, p5_records, p5_rejects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_footers, p2_footer_extrema, p2_layout, p2_layout_profile, p3_found, p4_found, p4_grid, p4_flux, p4_support, p5_found, p5_records, p5_rejects)}
 
 _COLUMN = """
 SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null,
   count(*) FILTER (isnan({c}::double)) AS n_nan,
   count(*) FILTER ({c} IS NOT NULL AND (isnan({c}::double) OR NOT ({rule}))) AS n_broken,
   min({c}::double) FILTER (NOT isnan({c}::double)) AS min, max({c}::double) FILTER (NOT isnan({c}::double)) AS max,
-  round((count(*) - count({c})) / count(*)::double, 9) AS null_rate
+  round((count(*) - count({c})) / count(*)::double, 9) AS null_rate, count(DISTINCT {c}::double) FILTER (NOT isnan({c}::double)) AS n_distinct
 FROM lightcurve GROUP BY load_id"""
 _LO = "coalesce(CASE band " + " ".join(f"WHEN '{b}' THEN {x}::double - 0.02::double" for b, (x, _) in profile.BAND_BOUNDS.items()) + " END, 0.7::double)"
 _HI = "coalesce(CASE band " + " ".join(f"WHEN '{b}' THEN {y}::double + 0.02::double" for b, (_, y) in profile.BAND_BOUNDS.items()) + " END, 5.1::double)"
@@ -114,9 +124,11 @@ LEFT JOIN s ON g.source_id IS NOT DISTINCT FROM s.source_id AND g.band = s.band
 }
 SQL["p2_footer_extrema"] = " UNION ALL ".join(
     f"""SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null,
-min({c}::double) FILTER (NOT isnan({c}::double)) AS min, max({c}::double) FILTER (NOT isnan({c}::double)) AS max FROM lightcurve GROUP BY load_id"""
+min({c}::double) FILTER (NOT isnan({c}::double)) AS min, max({c}::double) FILTER (NOT isnan({c}::double)) AS max,
+count(DISTINCT {c}::double) FILTER (NOT isnan({c}::double)) AS n_distinct FROM lightcurve GROUP BY load_id"""
     for c in ("mag_ab", "flag", "wavelength", "snr")
 )
+SQL["p2_layout_profile"] = SQL["p2_footer_extrema"]
 SQL["p4_flux"] = f"""WITH {_READINGS.replace("min(mjd) AS mjd FROM", "min(mjd) AS mjd, arg_min(flux, (mjd, flux)) AS flux FROM")},
 w AS (SELECT g.source_id, g.band, g.p, (mjd - 61041) / 10 - (g.p + 0.5::double) AS d, greatest(1 - pow(((mjd - 61041) / 10 - (g.p + 0.5::double)) / 2, 2), 0) AS w, flux
       FROM r JOIN grid g ON g.source_id IS NOT DISTINCT FROM r.source_id AND g.band = r.band AND abs((mjd - 61041) / 10 - (g.p + 0.5::double)) <= 2),

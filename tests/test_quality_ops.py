@@ -83,6 +83,19 @@ def test_footer_profile_equals_scan(spark, tmp_path):
     assert got[(11, "e")]["n_distinct"] == 0 and got[(11, "e")]["min"] is None
 
 
+def test_a_table_written_by_load_needs_fewer_rows(spark, tmp_path):
+    """A load of a third of the rows is split; its files, and most others, are settled by footers."""
+    rng = np.random.default_rng(1)
+    load = np.where(rng.random(6000) < 0.35, 3, rng.integers(1, 9, 6000))
+    t = pa.table({"load_id": pa.array(load, pa.int64()), "code": pa.array(rng.integers(0, 5, 6000), pa.int32())})
+    pq.write_table(t, tmp_path / "t.parquet")
+    by_load = profile.written_by_load(spark.read.parquet(str(tmp_path / "t.parquet")), str(tmp_path / "by"), files=24)
+    got = {r["load_id"]: r for r in profile.footer_profile(spark, by_load, ["code"]).collect()}
+    assert sum(r["n_rows"] for r in got.values()) == 6000 and all(r["n_distinct"] == 5 for r in got.values())
+    assert sum(r["scanned_share"] * r["n_rows"] for r in got.values()) < 0.6 * 6000 and got[3]["scanned_share"] < 0.3
+    assert len({r["f"] for r in by_load.where("load_id = 3").select(F.input_file_name().alias("f")).distinct().collect()}) > 5
+
+
 def test_distinct_values_of_mixed_chunks(spark, tmp_path):
     """Loads that share files, values in dictionaries and in scans: each counts once."""
     at = tmp_path / "m"
@@ -124,7 +137,9 @@ def test_profile_edge_cases(spark, tmp_path):
     p = {(r["load_id"], r["column_name"]): r for r in profile.profile(spark, spark.read.parquet(at), rules()).collect()}
     assert (p[1, "v"]["n_null"], p[1, "v"]["n_nan"], p[1, "v"]["n_broken"], p[1, "v"]["min"]) == (1, 1, 1, None)
     assert p[1, "code"]["n_broken"] == 1 and p[None, "v"]["n_rows"] == 1 and p[1, "e"]["max"] == math.inf
-    assert profile.load_changes(spark.read.parquet(at), rules()).where("load_id IS NULL").count() == 0
+    # A null load is a load of its own in both; what went wrong is only said of loads.
+    assert profile.load_changes(spark.read.parquet(at), rules()).where("load_id IS NULL AND column_name = 'v'").first()["n_rows"] == 1
+    assert profile.gone_wrong(profile.load_changes(spark.read.parquet(at), rules())).where("load_id IS NULL").count() == 0
 
 
 # -- problem 3 -----------------------------------------------------------------
