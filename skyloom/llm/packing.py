@@ -107,23 +107,24 @@ def pack(items: DataFrame, key: str, size: str, *, capacities: tuple[int, ...] =
     items of their own. An empty input gives an empty result.
 
     Ranks among equal sizes come from counts per (size, part), parts being
-    hash classes of about ``per_part`` rows, so a size that a third of all items
-    have is ranked in as many tasks as it needs.
+    hash classes of about ``per_part`` rows by a number that each row gets when it is first
+    written, so a size, or a key, that a third of all items have is ranked in as
+    many tasks as it needs.
     """
     most = max(capacities)
     n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
     pieces = checkpointed(
         items.select(F.col(key), n.alias("_n"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / most) - 1, F.lit(0)).cast("int"))))
-        .select(key, "piece", F.least(F.col("_n") - F.col("piece") * F.lit(most).cast("long"), F.lit(most)).cast("int").alias("n_tokens"))
+        .select(key, "piece", F.least(F.col("_n") - F.col("piece") * F.lit(most).cast("long"), F.lit(most)).cast("int").alias("n_tokens"), F.monotonically_increasing_id().alias("_id"))
     )
     hist = {r["n_tokens"]: r["n"] for r in pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``most`` rows
     runs, fit = plan(hist, capacities, overhead)
     parts = max(1, -(-sum(hist.values()) // per_part))
-    some = pieces.where("n_tokens > 0").withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
+    some = pieces.where("n_tokens > 0").withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
     counts = some.groupBy("n_tokens", "_part").agg(F.count(F.lit(1)).alias("_c"))
     starts = counts.select("n_tokens", "_part", (F.sum("_c").over(Window.partitionBy("n_tokens").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_from"))
-    within = F.row_number().over(Window.partitionBy("n_tokens", "_part").orderBy(key, "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("n_tokens", "_part").orderBy("_id")) - 1
     ranked = some.withColumn("_r", within).join(starts, ["n_tokens", "_part"]).select(key, "piece", "n_tokens", (F.col("_from") + F.col("_r")).alias("_rank"))
     order = np.lexsort((runs[:, 1], runs[:, 0])) if len(runs) else np.zeros(0, int)
     runs = runs[order]
