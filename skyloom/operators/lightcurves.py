@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from skyloom.functions import scalars as S
 from skyloom.operators.clip import sigma_clip
 from skyloom.operators.selection import exact_quantiles
+from skyloom.session import checkpointed
 
 
 def usable(m: DataFrame) -> DataFrame:
@@ -16,23 +17,24 @@ def usable(m: DataFrame) -> DataFrame:
     return m.where(S.finite(F.col("flux")) & (F.col("flux") > 0) & F.col("mag_ab").isNotNull() & ~F.isnan("mag_ab"))
 
 
-def time_order(m: DataFrame, keys: list[str], *, start: float = 61041.0, end: float = 61761.0, days: float = 30.0) -> DataFrame:
+def time_order(m: DataFrame, keys: list[str]) -> DataFrame:
     """``m`` with seq, each row's place in its group's order of mjd, obs_id and meas_id.
 
-    Null mjd comes first, NaN last. A place is the number of rows in earlier stretches of
-    ``days`` plus the place within the stretch, so a group of any size is ordered in as
-    many tasks as it has stretches.
+    Null mjd comes first, NaN last; equal rows are in any order. The table is written once in
+    ranges of the whole order, whose bounds are sampled, so that a group of any size is
+    spread over as many ranges as it needs, even if all its rows have one time. A place is the
+    number of the group's rows in earlier ranges plus the place within the range.
     """
-    slot = F.floor((F.least(F.greatest(F.coalesce(F.col("mjd"), F.lit(start - days)), F.lit(start - days)), F.lit(end)) - F.lit(start)) / F.lit(days)).cast("int")
-    part = m.withColumn("_slot", slot)
-    counts = part.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slot").alias("_ks"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("mjd", "obs_id", "meas_id"))
-    same = F.col("_slot") == F.col("_ks")
+    order = ["mjd", "obs_id", "meas_id"]
+    ranged = checkpointed(m.repartitionByRange(*keys, *order, F.rand(5)).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_kr"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_kr")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    placed = part.withColumn("_r", within).join(before, same)
+    placed = ranged.withColumn("_r", within).join(before, same)
     return placed.select(*m.columns, (F.col("_before") + F.col("_r")).alias("seq"))
 
 

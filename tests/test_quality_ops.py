@@ -341,8 +341,8 @@ def test_grid_against_brute_force(spark):
             t = np.sort(np.r_[rng.uniform(61041, 61300, 25), rng.uniform(61500, 61761, 9)])
             rows += [(s, f"{s}{i}", band, float(a), float(100 + a - 61041 + rng.normal()), 1.0) for i, a in enumerate(t)]
     rows += rows[3:5] + [(1, "one", "D3", 61100.0, 5.0, 1.0), (1, "bad", "D1", None, 1.0, 1.0), (1, "nan", "D1", 61760.0, math.nan, 1.0), (1, "u", "Unknown", 61100.0, 1.0, 1.0), (1, "late", "D1", 61761.0, 1.0, 1.0)]
-    for block in (3, 12):
-        got = {(r["source_id"], r["band"], r["period_no"]): (r["n_readings"], round(r["support"], 6), r["status"], None if r["flux"] is None else round(r["flux"], 5)) for r in regrid.regular_grid(readings(spark, rows), block=block).collect()}
+    for how in ({"block": 3}, {"block": 12}, {"hot_rows": 10}, {"hot_rows": 30}):
+        got = {(r["source_id"], r["band"], r["period_no"]): (r["n_readings"], round(r["support"], 6), r["status"], None if r["flux"] is None else round(r["flux"], 5)) for r in regrid.regular_grid(readings(spark, rows), **how).collect()}
         want = brute_grid(rows)
         assert got.keys() == want.keys()
         for k in want:

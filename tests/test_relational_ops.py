@@ -173,3 +173,27 @@ def test_nearest_zone_ties(spark):
     p = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], "x double, y double")
     assert [r["zone_id"] for r in pixels.nearest_zone(p, z).orderBy("x").collect()] == [2, 1, 1]
     assert pixels.nearest_zone(p, z.limit(0)).where("zone_id IS NULL").count() == 3
+
+
+def test_quantiles_of_full_buckets(spark):
+    """Most values lie in one bucket or are one value: buckets are cut until they are small."""
+    rng = np.random.default_rng(3)
+    values = np.r_[1 + rng.random(3000) * 1e-9, np.full(2000, 5.0), rng.normal(0, 100, 500), [0.0, -0.0, 1e308, -1e308]]
+    df = spark.createDataFrame([(k, float(x)) for k in (1, None) for x in values[: len(values) - 200 * (k or 0)]], "k long, v double")
+    q = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
+    for most in (50, 10**6):
+        got = {r["k"]: r for r in selection.exact_quantiles(df, ["k"], "v", q, most=most).collect()}
+        for k in (1, None):
+            x = values[: len(values) - 200 * (k or 0)]
+            assert got[k]["n"] == len(x)
+            for name, f in q.items():
+                assert got[k][name] == pytest.approx(np.quantile(x, f), rel=1e-12, abs=1e-12)
+
+
+def test_places_of_a_group_with_one_time(spark):
+    """A group that is most of the table, half of it at one time and some rows repeated, is ordered over many ranges."""
+    rows = [(1, "D1", f"o{i:04}", i, 61100.0) for i in range(2000)] + [(1, "D1", f"p{i:04}", i, None if i % 9 == 0 else 61041.0 + i) for i in range(600)] + [(2, None, "z", 1, float("nan"))] * 3
+    df = spark.createDataFrame(rows, "source_id long, band string, obs_id string, meas_id long, mjd double").repartition(5)
+    got = lightcurves.time_order(df, ["source_id", "band"]).collect()
+    mine = sorted((r for r in got if r["source_id"] == 1), key=lambda r: (r["mjd"] is not None, r["mjd"] or 0, r["obs_id"], r["meas_id"]))
+    assert [r["seq"] for r in mine] == list(range(1, 2601)) and sorted(r["seq"] for r in got if r["source_id"] == 2) == [1, 2, 3]
