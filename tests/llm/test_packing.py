@@ -90,10 +90,10 @@ def test_items_find_their_places(spark, per_part):
 
 def test_a_middle_capacity_wins_where_it_fits_best():
     """Three of 1366 don't fit into 4096, and two leave a third empty."""
-    runs, fit = P.plan({1366: 40}, (700, 1400, 4096))
+    runs, fit = packing.plan({1366: 40}, (700, 1400, 4096))
     assert fit[:, 1].sum() == 40 and set(fit[:, 3]) == {1400}
     # Beside items that fill the largest, both are opened.
-    runs, fit = P.plan({1366: 40, 4090: 5, 6: 5}, (700, 1400, 4096))
+    runs, fit = packing.plan({1366: 40, 4090: 5, 6: 5}, (700, 1400, 4096))
     opened = {int(c): int(fit[fit[:, 3] == c, 1].sum()) for c in set(fit[:, 3])}
     assert opened == {1400: 40, 4096: 5}
 
@@ -101,6 +101,6 @@ def test_a_middle_capacity_wins_where_it_fits_best():
 def test_equal_keys_are_ranked_in_many_parts(spark):
     """All rows have one key, or none: no part, and so no window, holds them all."""
     df = spark.createDataFrame([(None if i % 2 else 7, 100) for i in range(5000)], "doc_id long, n int")
-    packed = P.pack(df, "doc_id", "n", per_part=250)
+    packed = packing.pack(df, "doc_id", "n", per_part=250)
     assert packed.count() == 5000 and packed.select("container_id", "start").distinct().count() == 5000
-    assert P.containers(packed).agg({"filled": "sum"}).first()[0] == 500_000
+    assert packing.containers(packed).agg({"filled": "sum"}).first()[0] == 500_000
