@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalars as S
+from skyloom.operators.lightcurves import time_order
 
 
 def unit_vector(ra: Column, dec: Column) -> list[Column]:
@@ -21,27 +22,33 @@ def inside_polygon(ra: Column, dec: Column, poly: Column) -> Column:
     It is if it lies on the same side of the great circles through all edges, and on the
     polygon's half of the sphere; on an edge counts as inside. Null positions or polygons of under three corners give false.
     """
-    return _inside(_point(ra, dec), _corners(poly))
+    p, q = _point(ra, dec), _edges(poly)
+    return _inside(p, q)
 
 
 def _point(ra: Column, dec: Column) -> Column:
     return F.struct(*[c.alias(n) for c, n in zip(unit_vector(ra, dec), "xyz")])
 
 
-def _corners(poly: Column) -> Column:
-    return F.transform(poly, lambda v: _point(v["ra"], v["dec"]))
+def _edges(poly: Column) -> Column:
+    """What the test needs of a polygon: number of corners, normals of its edges, sum of its corners."""
+    corners = F.transform(poly, lambda v: _point(v["ra"], v["dec"]))
+    following = F.concat(F.slice(corners, 2, F.greatest(F.size(corners) - 1, F.lit(1))), F.slice(corners, 1, 1))
+    cross = lambda a, b: F.struct((a["y"] * b["z"] - a["z"] * b["y"]).alias("x"), (a["z"] * b["x"] - a["x"] * b["z"]).alias("y"), (a["x"] * b["y"] - a["y"] * b["x"]).alias("z"))
+    total = lambda n: F.aggregate(corners, F.lit(0.0), lambda acc, v: acc + v[n]).alias(n)
+    return F.struct(F.size(corners).alias("n"), F.zip_with(corners, following, cross).alias("normals"), *[total(n) for n in "xyz"])
 
 
-def _inside(p: Column, corners: Column) -> Column:
-    following = F.concat(F.slice(corners, 2, F.greatest(F.size(corners) - 1, F.lit(1))), F.slice(corners, 1, 1))
-    side = F.zip_with(
-        corners,
-        following,
-        lambda a, b: (a["y"] * b["z"] - a["z"] * b["y"]) * p["x"] + (a["z"] * b["x"] - a["x"] * b["z"]) * p["y"] + (a["x"] * b["y"] - a["y"] * b["x"]) * p["z"],
-    )
-    zero = F.lit(0.0)
-    towards = F.aggregate(corners, zero, lambda acc, a: acc + a["x"] * p["x"] + a["y"] * p["y"] + a["z"] * p["z"])
-    return F.coalesce((F.size(corners) >= 3) & (towards > 0) & (F.forall(side, lambda s: s >= 0) | F.forall(side, lambda s: s <= 0)), F.lit(False))
+def _inside(p: Column, q: Column) -> Column:
+    """The first four edges are tested by plain expressions, which compile; only further ones in a lambda."""
+    dot = lambda v: v["x"] * p["x"] + v["y"] * p["y"] + v["z"] * p["z"]
+    towards = (q["n"] >= 3) & (dot(q) > 0)
+    sides = [dot(F.get(q["normals"], F.lit(k))) for k in range(4)]
+    every = lambda f: (q["n"] <= 4) | F.forall(q["normals"], f)
+    left, right = F.lit(True), F.lit(True)
+    for x in sides:
+        left, right = left & F.coalesce(x >= 0, F.lit(True)), right & F.coalesce(x <= 0, F.lit(True))
+    return F.coalesce(p["x"].isNotNull() & p["z"].isNotNull() & towards & ((left & every(lambda v: dot(v) >= 0)) | (right & every(lambda v: dot(v) <= 0))), F.lit(False))
 
 
 def _cell(ra: Column, dec: Column, size: float) -> Column:
@@ -51,9 +58,12 @@ def _cell(ra: Column, dec: Column, size: float) -> Column:
 def covering_cells(poly: Column, size: float) -> Column:
     """Cells of a ra/dec grid that a polygon can touch: its bounding box and the bulge of
     its edges; all cells for polygons wider than 160 degrees, which includes those around a
-    pole and those over right ascension 0 whose corners are given between 0 and 360."""
-    ras, decs = F.transform(poly, lambda v: v["ra"]), F.transform(poly, lambda v: v["dec"])
+    pole. Those over right ascension 0 are taken as lying around 360."""
     n, last = int(round(360 / size)), int(round(180 / size)) - 1
+    plain, decs = F.transform(poly, lambda v: F.pmod(v["ra"], F.lit(360.0))), F.transform(poly, lambda v: v["dec"])
+    around = F.transform(plain, lambda v: F.when(v < 180, v + 360).otherwise(v))
+    over = (F.array_max(plain) - F.array_min(plain) > 160) & (F.array_max(around) - F.array_min(around) <= 160)
+    ras = F.when(over, around).otherwise(plain)
     west, east, south, north = F.array_min(ras), F.array_max(ras), F.array_min(decs), F.array_max(decs)
     half = (east - west) / 2
     steep = F.greatest(F.abs(south), F.abs(north))
@@ -79,20 +89,21 @@ def spatial_join(points: DataFrame, planes: DataFrame, *, ra: str = "ra", dec: s
         raise ValueError("cell must divide 180 and 360 degrees")
     # Unit vectors are computed once per row, not once per pair.
     p = points.withColumn("_cell", _cell(F.col(ra), F.col(dec), cell)).withColumn("_point", _point(F.col(ra), F.col(dec)))
-    q = planes.withColumn("_corners", _corners(F.col(poly))).withColumn("_cell", F.explode(covering_cells(F.col(poly), cell)))
-    return p.join(q, "_cell").where(_inside(F.col("_point"), F.col("_corners"))).drop("_cell", "_point", "_corners")
+    q = planes.withColumn("_edges", _edges(F.col(poly))).withColumn("_cell", F.explode(covering_cells(F.col(poly), cell)))
+    return p.join(q, "_cell").where(_inside(F.col("_point"), F.col("_edges"))).drop("_cell", "_point", "_edges")
 
 
-def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
+def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tuple[str, ...] | None = None, ordered: bool = False) -> DataFrame:
     """Observations of each source: catalogue join, containment, bands, derived columns.
 
-    Rows whose publisher id has no observation id are dropped.
+    Rows whose publisher id has no observation id are dropped. ordered: with seq, the place
+    in the source's order of start time.
     """
     if bands:
         plane = plane.where(F.col("energy_bandpassname").isin(*[S.BANDPASS + b for b in bands]))
     hit = spatial_join(sources.select("source_id", "ra", "dec"), plane)
     lo, hi = F.col("time_bounds_lower"), F.col("time_bounds_upper")
-    return (
+    found = (
         hit.join(artifact, "planeid")
         .withColumn("obs_id", S.obs_id_of(F.col("obs_publisher_did")))
         .where(F.col("obs_id").isNotNull())
@@ -108,6 +119,7 @@ def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tup
             hi.alias("t_max"),
         )
     )
+    return time_order(found, ["source_id"], ["t_min", "obs_id", "band", "download_url"]) if ordered else found
 
 
 def band_counts(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -17,15 +17,15 @@ def usable(m: DataFrame) -> DataFrame:
     return m.where(S.finite(F.col("flux")) & (F.col("flux") > 0) & F.col("mag_ab").isNotNull() & ~F.isnan("mag_ab"))
 
 
-def time_order(m: DataFrame, keys: list[str]) -> DataFrame:
-    """``m`` with seq, each row's place in its group's order of mjd, obs_id and meas_id.
+def time_order(m: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``m`` with seq, each row's place in its group's order of mjd, obs_id and meas_id, or of ``order``.
 
-    Null mjd comes first, NaN last; equal rows are in any order. The table is written once in
+    Null comes first, NaN last; equal rows are in any order. The table is written once in
     ranges of the whole order, whose bounds are sampled, so that a group of any size is
     spread over as many ranges as it needs, even if all its rows have one time. A place is the
     number of the group's rows in earlier ranges plus the place within the range.
     """
-    order = ["mjd", "obs_id", "meas_id"]
+    order = order or ["mjd", "obs_id", "meas_id"]
     ranged = checkpointed(m.repartitionByRange(*keys, *order, F.rand(5)).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,6 +72,23 @@ def classified(m: DataFrame, **how) -> DataFrame:
     return m.withColumn("quality_class", quality_class(F.col("flux"), F.col("flux_error"), F.col("flag"), **how))
 
 
+def quality_filter(m: DataFrame, *, sigma: float = 5.0, mask: int | None = None, strict: bool = False) -> DataFrame:
+    """The measurements that pass: snr not below ``sigma`` (nor missing) and no bit of ``mask`` set.
+
+    strict: snr of ``sigma`` or more and a flag of 0.
+    """
+    r = S.snr(F.col("flux"), F.col("flux_error"))
+    if strict:
+        return m.where((r >= sigma) & (F.col("flag") == 0))
+    mask = S.flag_mask() if mask is None else mask
+    return m.where(~F.coalesce(r < sigma, F.lit(True)) & ~F.coalesce(S.has_flag(F.col("flag"), mask), F.lit(False)))
+
+
+def band_days(m: DataFrame) -> DataFrame:
+    """band, day (of mjd), n: how many measurements fall on each day."""
+    return m.where(S.finite(F.col("mjd"))).groupBy("band", F.floor("mjd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def filter_counts(m: DataFrame, *, keys: list[str], sigma: float = 5.0, mask: int | None = None) -> DataFrame:
     """How many measurements pass, and why the others don't (each counted once)."""
     mask = S.flag_mask() if mask is None else mask
@@ -120,44 +137,70 @@ def plot_limits(df: DataFrame, keys: list[str], value: str, *, low: float = 0.00
     )
 
 
-def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 20) -> DataFrame:
-    """keys..., bin, count: equal bins over the group's range, the last one closed."""
+def _null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null with null; those of ``other`` are dropped."""
+    o = other.select(*[F.col(k).alias(f"_on_{k}") if k in keys else F.col(k) for k in other.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return df.join(o, on, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 20, upto: float | None = None) -> DataFrame:
+    """keys..., bin, count: equal bins over the group's range, the last one closed.
+
+    upto: only values up to that quantile of the group.
+    """
     v = df.where(S.finite(F.col(value))).select(*keys, F.col(value).alias("_v"))
+    if upto is not None:
+        v = _null_safe(v, exact_quantiles(v, keys, "_v", {"_most": upto}).select(*keys, "_most"), keys).where("_v <= _most").drop("_most")
     ends = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / w), F.lit(bins - 1))).otherwise(F.lit(bins // 2))
-    return v.join(ends, keys).select(*keys, place.cast("int").alias("bin")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    return _null_safe(v, ends, keys).select(*keys, place.cast("int").alias("bin")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
 def days_since_first(m: DataFrame, keys: list[str]) -> DataFrame:
     """``m`` with days since the group's first mjd: from an aggregate, not a window, so
     that no group has to be in one task."""
     first = m.groupBy(*keys).agg(F.min("mjd").alias("_first"))
-    return m.join(first, keys).withColumn("days", F.col("mjd") - F.col("_first")).drop("_first")
+    return _null_safe(m, first, keys).withColumn("days", F.col("mjd") - F.col("_first")).drop("_first")
 
 
-def spectrum_series(m: DataFrame, *, magnitude: bool = False) -> DataFrame:
-    """One row per measurement of a spectrum plot: class, wavelength, full bandwidth, y, yerr, days."""
-    c = classified(m)
+def spectrum_series(m: DataFrame, *, magnitude: bool = False, ordered: bool = False, **how) -> DataFrame:
+    """One row per measurement of a spectrum plot: class, wavelength, full bandwidth, y, yerr, days.
+
+    ``how`` goes to ``quality_class``. ordered: with seq, the place in the source's order of wavelength.
+    """
+    c = classified(m, **how)
     limit = F.col("quality_class").endswith("upper_limits")
     y = F.col("mag_ab") if magnitude else F.when(limit, F.col("flux") + F.col("flux_error")).otherwise(F.col("flux"))
     first = c.where(F.col("quality_class") == "good_regular").groupBy("source_id").agg(F.min("mjd").alias("_first"))
-    return (
+    out = (
         c.withColumn("y", y)
         .where(F.col("y").isNotNull() & ~F.isnan("y"))
         .join(first, "source_id", "left")
         .select("source_id", "meas_id", "quality_class", "wavelength", "bandwidth", "y", F.when(~limit, F.col("mag_ab_error" if magnitude else "flux_error")).alias("yerr"), (F.col("mjd") - F.col("_first")).alias("days"))
     )
+    return time_order(out, ["source_id"], ["wavelength", "meas_id"]) if ordered else out
 
 
-def time_series(m: DataFrame) -> DataFrame:
-    """One row per measurement of a light-curve plot; limits are drawn at flux + error if good."""
-    c = classified(m, separate=False)
+def time_series(m: DataFrame, *, magnitude: bool = False, ordered: bool = False, **how) -> DataFrame:
+    """One row per measurement of a light-curve plot; limits are drawn at flux + error if good.
+
+    magnitude: y and yerr are magnitudes. ``how`` goes to ``quality_class``. ordered: with
+    seq, the place in the source's order of time.
+    """
+    c = classified(m, separate=False, **how)
     good = F.col("quality_class") == "good_regular"
     limit = F.coalesce(S.is_upper_limit(F.col("flux"), F.col("flux_error")), F.lit(False))
-    return c.withColumn("y", F.when(good & limit, F.col("flux") + F.col("flux_error")).otherwise(F.col("flux"))).where(F.col("y").isNotNull() & ~F.isnan("y")).select(
-        "source_id", "meas_id", F.when(good, "good").otherwise("rejected").alias("class"), "mjd", "y", F.col("flux_error").alias("yerr"), "wavelength", limit.alias("is_limit")
+    y = F.col("mag_ab") if magnitude else F.when(good & limit, F.col("flux") + F.col("flux_error")).otherwise(F.col("flux"))
+    out = (
+        c.withColumn("y", y)
+        .where(F.col("y").isNotNull() & ~F.isnan("y"))
+        .select("source_id", "meas_id", F.when(good, "good").otherwise("rejected").alias("class"), "mjd", "y", F.col("mag_ab_error" if magnitude else "flux_error").alias("yerr"), "wavelength", limit.alias("is_limit"))
     )
+    return time_order(out, ["source_id"], ["mjd", "meas_id"]) if ordered else out
 
 
 def axis_limits(df: DataFrame, keys: list[str], value: str, margin: float = 0.05) -> DataFrame:

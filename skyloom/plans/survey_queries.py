@@ -32,6 +32,12 @@ def sig(c: Column | str) -> Column:
     return F.format_string("%.8e", F.col(c) if isinstance(c, str) else c)
 
 
+def num(c: Column | str) -> Column:
+    """``sig``, and names for what isn't finite."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.isnan(c), "nan").when(c == math.inf, "inf").when(c == -math.inf, "-inf").otherwise(F.when(c.isNotNull(), sig(c)))
+
+
 def lc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lightcurve")
 
@@ -48,6 +54,7 @@ FLAGGED = f"coalesce((flag::bigint & {BAD}) <> 0, false)"
 CLASS = f"CASE WHEN {LOW} OR {FLAGGED} THEN 'rejected' ELSE 'good' END || CASE WHEN coalesce({LIMIT}, false) THEN '_upper_limits' ELSE '_regular' END"
 USABLE = f"{fin('flux')} AND flux > 0 AND mag_ab IS NOT NULL AND NOT isnan(mag_ab)"
 SIG = "printf('%.8e', {})"
+NUM = "CASE WHEN isnan({0}) THEN 'nan' WHEN isinf({0}) THEN CASE WHEN {0} > 0 THEN 'inf' ELSE '-inf' END WHEN {0} IS NOT NULL THEN printf('%.8e', {0}) END"
 _DAYS = "datediff('day', DATE '1858-11-17', o_orderdate::date)::double"
 _RA, _DEC = "((o_orderkey * 7) % 350)::double", "((o_orderkey * 13) % 170 - 85)::double"
 PLANE = f"""plane AS (SELECT o_orderkey AS planeid, 'ivo://x/qr?' || o_orderkey || '_' || (o_custkey % 4) || '/D' || (o_custkey % 6 + 1) AS did,
@@ -96,6 +103,17 @@ def obs_search(spark, d):
     return archive.search(A.sources(spark, d), A.artifacts(spark, d), A.planes(spark, d), ("D1", "D4"))
 
 
+@query(
+    f"""WITH {PLANE}, o AS (SELECT s.source_id, regexp_extract(p.did, '\\?([^/]+)', 1) AS obs_id, split_part(p.bandpass, '-', -1) AS band, p.t_lo AS t_min,
+  '{S.ARCHIVE}' || 'ibe/data/' || l_partkey || '_' || l_suppkey || '.fits' AS download_url FROM sky_source s JOIN plane p ON {INSIDE} JOIN lineitem ON l_orderkey = p.planeid)
+SELECT source_id, obs_id, band, t_min, download_url, row_number() OVER (PARTITION BY source_id ORDER BY t_min, obs_id, band, download_url) AS seq FROM o"""
+)
+def obs_search_ordered(spark, d):
+    """All bands, each source's observations in the order of their start."""
+    found = archive.search(A.sources(spark, d), A.artifacts(spark, d), A.planes(spark, d), ordered=True)
+    return found.select("source_id", "obs_id", "band", "t_min", "download_url", "seq")
+
+
 @query(f"WITH {PLANE} SELECT s.source_id, p.planeid FROM sky_source s JOIN plane p ON {INSIDE}")
 def spatial_join(spark, d):
     return archive.spatial_join(A.sources(spark, d), A.planes(spark, d)).select("source_id", "planeid")
@@ -196,10 +214,10 @@ def cutout_estimate_mb(spark, d):
 
 
 # -- scalar functions on measurements ------------------------------------------------
-@query(f"SELECT meas_id, {SNR} AS snr2, {LIMIT} AS limited FROM lightcurve WHERE {fin('flux')} AND {fin('flux_error')}")
+@query(f"SELECT meas_id, {NUM.format('snr2')} AS snr2, limited FROM (SELECT meas_id, {SNR} AS snr2, {LIMIT} AS limited FROM lightcurve)")
 def snr_upper_limit(spark, d):
-    m = lc(spark, d).where(S.finite(F.col("flux")) & S.finite(F.col("flux_error")))
-    return m.select("meas_id", S.snr(F.col("flux"), F.col("flux_error")).alias("snr2"), S.is_upper_limit(F.col("flux"), F.col("flux_error")).alias("limited"))
+    m = lc(spark, d)
+    return m.select("meas_id", num(S.snr(F.col("flux"), F.col("flux_error"))).alias("snr2"), S.is_upper_limit(F.col("flux"), F.col("flux_error")).alias("limited"))
 
 
 @query(f"""SELECT meas_id, CASE WHEN {fin('flux')} AND flux > 0 THEN round(23.9::double - 2.5::double * log10(flux), 8) END AS mag,
@@ -209,15 +227,16 @@ def ab_magnitude(spark, d):
     return lc(spark, d).select("meas_id", F.round(S.ab_magnitude(f), 8).alias("mag"), F.when(S.ab_magnitude_error(f, e).isNotNull(), sig(S.ab_magnitude_error(f, e))).alias("err"))
 
 
-@query(f"""SELECT meas_id, {SIG.format('pow(10::double, -0.4::double * (mag_ab + 48.6::double)) * 1e23::double')} AS jy FROM lightcurve WHERE mag_ab IS NOT NULL AND isfinite(mag_ab)""")
+@query(f"""SELECT meas_id, {NUM.format('jy')} AS jy FROM (SELECT meas_id, pow(10::double, -0.4::double * (mag_ab + 48.6::double)) * 1e23::double AS jy FROM lightcurve)""")
 def mag_to_flux(spark, d):
-    return lc(spark, d).where(S.finite(F.col("mag_ab"))).select("meas_id", sig(S.magnitude_to_jansky(F.col("mag_ab"))).alias("jy"))
+    return lc(spark, d).select("meas_id", num(S.magnitude_to_jansky(F.col("mag_ab"))).alias("jy"))
 
 
-@query("""WITH u AS (SELECT meas_id, snr, CASE meas_id % 4 WHEN 0 THEN 'MJy/sr' WHEN 1 THEN ' uJy / arcsec2' WHEN 2 THEN 'JY/ARCSEC2' ELSE 'parsec' END AS unit FROM lightcurve WHERE snr BETWEEN -1e6 AND 1e6)
-SELECT meas_id, round(snr * CASE lower(replace(unit, ' ', '')) WHEN 'mjy/sr' THEN 1::double WHEN 'ujy/arcsec2' THEN 1e12::double / pow(648000::double / pi(), 2) WHEN 'jy/arcsec2' THEN 1e6::double / pow(648000::double / pi(), 2) END, 6) AS converted FROM u""")
+@query(f"""WITH u AS (SELECT meas_id, snr, CASE meas_id % 4 WHEN 0 THEN 'MJy/sr' WHEN 1 THEN ' uJy / arcsec2' WHEN 2 THEN 'JY/ARCSEC2' ELSE 'parsec' END AS unit FROM lightcurve),
+c AS (SELECT meas_id, snr * CASE lower(replace(unit, ' ', '')) WHEN 'mjy/sr' THEN 1::double WHEN 'ujy/arcsec2' THEN 1e12::double / pow(648000::double / pi(), 2) WHEN 'jy/arcsec2' THEN 1e6::double / pow(648000::double / pi(), 2) END AS converted FROM u)
+SELECT meas_id, {NUM.format('converted')} AS converted FROM c""")
 def unit_convert(spark, d):
-    return _converted(lc(spark, d).where(F.col("snr").between(-1e6, 1e6))).select("meas_id", F.round("converted", 6).alias("converted"))
+    return _converted(lc(spark, d)).select("meas_id", num("converted").alias("converted"))
 
 
 @query()
@@ -263,11 +282,13 @@ def classify_4way(spark, d):
     return lightcurves.classified(lc(spark, d)).select("meas_id", "quality_class")
 
 
-@query(f"""SELECT band, {CLASS} AS quality_class, count(*) AS n, {SIG.format('avg(' + SNR + ')')} AS mean_snr, min(mjd) AS mjd_min, max(mjd) AS mjd_max
-FROM lightcurve WHERE {fin('flux')} AND {fin('flux_error')} GROUP BY 1, 2""")
+@query(f"""WITH q AS (SELECT band, {CLASS} AS quality_class, {SNR} AS snr2, mjd FROM lightcurve)
+SELECT band, quality_class, count(*) AS n, CASE WHEN count(*) FILTER (isnan(snr2) OR snr2 = 'inf') > 0 AND count(*) FILTER (isnan(snr2) OR snr2 = '-inf') > 0 THEN 'nan'
+  WHEN count(*) FILTER (snr2 = 'inf') > 0 THEN 'inf' WHEN count(*) FILTER (snr2 = '-inf') > 0 THEN '-inf' ELSE {SIG.format('avg(snr2) FILTER (isfinite(snr2))')} END AS mean_snr, min(mjd) AS mjd_min, max(mjd) AS mjd_max
+FROM q GROUP BY 1, 2""")
 def class_summary(spark, d):
-    m = lightcurves.classified(lc(spark, d).where(S.finite(F.col("flux")) & S.finite(F.col("flux_error"))))
-    return m.groupBy("band", "quality_class").agg(F.count(F.lit(1)).alias("n"), sig(F.avg(S.snr(F.col("flux"), F.col("flux_error")))).alias("mean_snr"), F.min("mjd").alias("mjd_min"), F.max("mjd").alias("mjd_max"))
+    m = lightcurves.classified(lc(spark, d))
+    return m.groupBy("band", "quality_class").agg(F.count(F.lit(1)).alias("n"), num(F.avg(S.snr(F.col("flux"), F.col("flux_error")))).alias("mean_snr"), F.min("mjd").alias("mjd_min"), F.max("mjd").alias("mjd_max"))
 
 
 @query(f"""WITH q AS (SELECT band, coalesce(({SNR}) < 5, true) AS low, {FLAGGED} AS bad FROM lightcurve)
@@ -284,11 +305,11 @@ def usable_once(spark, d):
 
 
 # -- light curves ------------------------------------------------------------------------
-@query(f"""SELECT source_id, obs_id, band, meas_id, mjd, flux, flux_error, {SNR} AS snr, {LIMIT} AS is_upper_limit,
+@query(f"""SELECT source_id, obs_id, band, meas_id, mjd, flux, {NUM.format('flux_error')} AS flux_error, {NUM.format('(' + SNR + ')')} AS snr, {LIMIT} AS is_upper_limit,
   CASE WHEN flag < 0 THEN '-' || lpad(bin(-flag::bigint), greatest(21, length(bin(-flag::bigint)))::int, '0') ELSE lpad(bin(flag::bigint), greatest(22, length(bin(flag::bigint)))::int, '0') END AS flag_binary,
-  row_number() OVER (PARTITION BY source_id, band ORDER BY mjd NULLS FIRST, obs_id NULLS FIRST, meas_id) AS seq FROM lightcurve WHERE {USABLE} AND {fin('flux_error')}""")
+  row_number() OVER (PARTITION BY source_id, band ORDER BY mjd NULLS FIRST, obs_id NULLS FIRST, meas_id) AS seq FROM lightcurve WHERE {USABLE}""")
 def lightcurve_build(spark, d):
-    return lightcurves.light_curve(lightcurves.usable(lc(spark, d)).where(S.finite(F.col("flux_error"))))
+    return lightcurves.light_curve(lightcurves.usable(lc(spark, d))).withColumns({c: num(c) for c in ("flux_error", "snr")})
 
 
 @query(f"""SELECT source_id, count(*) AS n_measurements, count(DISTINCT band) AS n_bands, string_agg(DISTINCT band, ',' ORDER BY band) AS bands, min(mjd) AS mjd_min, max(mjd) AS mjd_max, max(mjd) - min(mjd) AS time_span_days,
@@ -319,18 +340,25 @@ def exact_percentiles(spark, d):
     return q.select("source_id", "band", "n", *[sig(c).alias(c) for c in ("q1", "q2", "q95")])
 
 
-_HIST = """WITH v AS (SELECT band, {c} AS v FROM lightcurve WHERE {c} BETWEEN {a} AND {b}), r AS (SELECT band, min(v) AS lo, max(v) AS hi FROM v GROUP BY band)
+_HIST = """WITH v AS (SELECT band, {c} AS v FROM lightcurve WHERE {c} IS NOT NULL AND isfinite({c}) AND {where}), r AS (SELECT band, min(v) AS lo, max(v) AS hi FROM v GROUP BY band)
 SELECT band, least(floor((v - lo) / ((hi - lo) / 20)), 19)::int AS bin, count(*) AS count FROM v JOIN r USING (band) GROUP BY 1, 2"""
 
 
-@query(_HIST.format(c="wavelength", a=0.5, b=6))
+@query(_HIST.format(c="wavelength", where="true"))
 def histogram20_wavelength(spark, d):
-    return lightcurves.histogram(lc(spark, d).where(F.col("wavelength").between(0.5, 6)), ["band"], "wavelength")
+    return lightcurves.histogram(lc(spark, d), ["band"], "wavelength")
 
 
-@query(_HIST.format(c="snr", a=0, b=200))
+@query(_HIST.format(c="snr", where="flux_error > 0"))
 def histogram20_snr(spark, d):
-    return lightcurves.histogram(lc(spark, d).where(F.col("snr").between(0, 200)), ["band"], "snr")
+    return lightcurves.histogram(lc(spark, d).where(F.col("flux_error") > 0), ["band"], "snr")
+
+
+@query(f"""WITH p AS (SELECT band, quantile_cont(snr, 0.95) AS most FROM lightcurve WHERE {fin('snr')} AND flux_error > 0 GROUP BY band)
+SELECT * FROM ({_HIST.format(c="snr", where="flux_error > 0 AND snr <= (SELECT most FROM p WHERE p.band IS NOT DISTINCT FROM lightcurve.band)")})""")
+def histogram20_snr_p95(spark, d):
+    """Up to each band's 95 % value, as the summary plot has it."""
+    return lightcurves.histogram(lc(spark, d).where(F.col("flux_error") > 0), ["band"], "snr", upto=0.95)
 
 
 @query()
@@ -345,35 +373,58 @@ def histogram20_snr_all(spark, d):
     return lightcurves.histogram(lc(spark, d).where(F.col("flux_error") > 0), ["band"], "snr")
 
 
-_GOODTIME = "mjd >= 61041 AND mjd < 61761"
-
-
-@query(f"SELECT meas_id, mjd - min(mjd) OVER (PARTITION BY source_id) AS days FROM lightcurve WHERE {_GOODTIME}")
+@query("SELECT meas_id, mjd - min(mjd) OVER (PARTITION BY source_id) AS days FROM lightcurve")
 def days_since_first(spark, d):
-    return lightcurves.days_since_first(lc(spark, d).where(_GOODTIME), ["source_id"]).select("meas_id", "days")
+    return lightcurves.days_since_first(lc(spark, d), ["source_id"]).select("meas_id", "days")
 
 
-@query(f"""WITH c AS (SELECT *, {CLASS} AS quality_class FROM lightcurve WHERE {_GOODTIME} AND {fin('flux_error')}), f AS (SELECT source_id, min(mjd) AS f FROM c WHERE quality_class = 'good_regular' GROUP BY 1)
-SELECT source_id, meas_id, quality_class, wavelength, bandwidth, CASE WHEN quality_class LIKE '%upper_limits' THEN flux + flux_error ELSE flux END AS y,
-  CASE WHEN quality_class NOT LIKE '%upper_limits' THEN flux_error END AS yerr, mjd - f AS days FROM c LEFT JOIN f USING (source_id) WHERE flux IS NOT NULL AND NOT isnan(flux)""")
+@query(f"""WITH c AS (SELECT *, {CLASS} AS quality_class FROM lightcurve), f AS (SELECT source_id, min(mjd) AS f FROM c WHERE quality_class = 'good_regular' GROUP BY 1)
+SELECT source_id, meas_id, quality_class, wavelength, bandwidth, {NUM.format("(CASE WHEN quality_class LIKE '%upper_limits' THEN flux + flux_error ELSE flux END)")} AS y,
+  {NUM.format("(CASE WHEN quality_class NOT LIKE '%upper_limits' THEN flux_error END)")} AS yerr, mjd - f AS days FROM c LEFT JOIN f USING (source_id) WHERE flux IS NOT NULL AND NOT isnan(flux)""")
 def spectrum_series(spark, d):
-    return lightcurves.spectrum_series(lc(spark, d).where(_GOODTIME).where(S.finite(F.col("flux_error"))))
+    return lightcurves.spectrum_series(lc(spark, d)).withColumns({c: num(c) for c in ("y", "yerr")})
 
 
-@query(f"""WITH c AS (SELECT *, CASE WHEN {LOW} OR {FLAGGED} THEN 'rejected' ELSE 'good' END AS class, coalesce({LIMIT}, false) AS is_limit FROM lightcurve WHERE {_GOODTIME} AND {fin('flux_error')})
-SELECT source_id, meas_id, class, mjd, CASE WHEN class = 'good' AND is_limit THEN flux + flux_error ELSE flux END AS y, flux_error AS yerr, wavelength, is_limit FROM c WHERE flux IS NOT NULL AND NOT isnan(flux)""")
+@query(f"""WITH c AS (SELECT *, CASE WHEN {LOW} OR {FLAGGED} THEN 'rejected' ELSE 'good' END AS class, coalesce({LIMIT}, false) AS is_limit FROM lightcurve)
+SELECT source_id, meas_id, class, mjd, {NUM.format("(CASE WHEN class = 'good' AND is_limit THEN flux + flux_error ELSE flux END)")} AS y, {NUM.format('flux_error')} AS yerr, wavelength, is_limit FROM c WHERE flux IS NOT NULL AND NOT isnan(flux)""")
 def lightcurve_series(spark, d):
-    return lightcurves.time_series(lc(spark, d).where(_GOODTIME).where(S.finite(F.col("flux_error"))))
+    return lightcurves.time_series(lc(spark, d)).withColumns({c: num(c) for c in ("y", "yerr")})
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN {LOW} OR {FLAGGED} THEN 'rejected' ELSE 'good' END AS class, coalesce({LIMIT}, false) AS is_limit FROM lightcurve WHERE mag_ab IS NOT NULL AND NOT isnan(mag_ab))
+SELECT source_id, meas_id, class, mjd, {NUM.format('mag_ab')} AS y, {NUM.format("mag_ab_error")} AS yerr, wavelength, is_limit,
+  row_number() OVER (PARTITION BY source_id ORDER BY mjd NULLS FIRST, meas_id) AS seq FROM c""")
+def lightcurve_series_mag(spark, d):
+    """The plot's magnitude mode, in its order by time."""
+    return lightcurves.time_series(lc(spark, d), magnitude=True, ordered=True).withColumns({c: num(c) for c in ("y", "yerr")})
+
+
+@query("SELECT band, floor(mjd)::bigint AS day, count(*) AS n FROM lightcurve WHERE mjd IS NOT NULL AND isfinite(mjd) GROUP BY 1, 2")
+def band_days(spark, d):
+    """Points of the summary plot by band and day."""
+    return lightcurves.band_days(lc(spark, d))
+
 
+@query(f"""SELECT meas_id, source_id, {NUM.format('flux')} AS flux, {NUM.format('flux_error')} AS flux_error, flag FROM lightcurve WHERE NOT coalesce(({SNR}) < 5, true) AND NOT {FLAGGED}""")
+def quality_filtered(spark, d):
+    """The measurements that pass the quality filter."""
+    return lightcurves.quality_filter(lc(spark, d)).select("meas_id", "source_id", num("flux").alias("flux"), num("flux_error").alias("flux_error"), "flag")
 
-@query(f"SELECT source_id, min(mjd) - (max(mjd) - min(mjd)) * 0.05::double AS x_min, max(mjd) + (max(mjd) - min(mjd)) * 0.05::double AS x_max FROM lightcurve WHERE {_GOODTIME} GROUP BY 1")
+
+@query(f"SELECT meas_id FROM lightcurve WHERE ({SNR}) >= 5 AND flag = 0")
+def clean_measurements(spark, d):
+    """The strict recipe: snr of five or more and no flag at all."""
+    return lightcurves.quality_filter(lc(spark, d), strict=True).select("meas_id")
+
+
+@query(f"SELECT source_id, min(mjd) - (max(mjd) - min(mjd)) * 0.05::double AS x_min, max(mjd) + (max(mjd) - min(mjd)) * 0.05::double AS x_max FROM lightcurve WHERE mjd IS NOT NULL AND isfinite(mjd) GROUP BY 1")
 def axis_limits(spark, d):
-    return lightcurves.axis_limits(lc(spark, d).where(_GOODTIME), ["source_id"], "mjd")
+    return lightcurves.axis_limits(lc(spark, d), ["source_id"], "mjd")
 
 
-@query("""SELECT band, count(snr) AS n, round(avg(snr), 6) AS mean, round(stddev_samp(snr), 6) AS std, min(snr) AS min, max(snr) AS max, round(100 * avg((snr < 5)::int), 6) AS percent_low FROM lightcurve WHERE snr BETWEEN -1000 AND 1000 GROUP BY band""")
+@query(f"""SELECT band, count(snr) AS n, {SIG.format('avg(snr)')} AS mean, {SIG.format('stddev_samp(snr)')} AS std, min(snr) AS min, max(snr) AS max, round(100 * avg((snr < 5)::int), 6) AS percent_low FROM lightcurve WHERE {fin('snr')} GROUP BY band""")
 def describe_snr(spark, d):
-    return _described(lc(spark, d).where(F.col("snr").between(-1000, 1000)))
+    return _described(lc(spark, d).where(S.finite(F.col("snr")))).withColumns({c: sig(c) for c in ("mean", "std")})
 
 
 @query()
@@ -384,16 +435,16 @@ def describe_snr_all(spark, d):
 
 def _described(m):
     v = F.col("snr")
-    return m.groupBy("band").agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(100 * F.avg((v < 5).cast("int")), 6).alias("percent_low"))
+    return m.groupBy("band").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(100 * F.avg((v < 5).cast("int")), 6).alias("percent_low"))
 
 
-_ONCE = f"SELECT source_id, obs_id, band, min(flux) AS flux, min(mag_ab) AS mag FROM lightcurve WHERE {fin('flux')} AND flux BETWEEN 1 AND 1e6 AND mag_ab BETWEEN 5 AND 30 GROUP BY 1, 2, 3"
+_ONCE = f"SELECT source_id, obs_id, band, min(flux) AS flux, min(mag_ab) AS mag FROM lightcurve WHERE {fin('flux')} AND {fin('mag_ab')} GROUP BY 1, 2, 3"
 
 
-@query(f"WITH a AS ({_ONCE}), j AS (SELECT band, (pow(10::double, (23.9::double - mag) / 2.5::double) - flux) / flux * 100 AS p FROM a) SELECT band, count(*) AS n, round(avg(p), 4) AS mean_diff, round(stddev_samp(p), 4) AS std_diff FROM j GROUP BY band")
+@query(f"WITH a AS ({_ONCE}), j AS (SELECT band, (pow(10::double, (23.9::double - mag) / 2.5::double) - flux) / flux * 100 AS p FROM a WHERE flux <> 0 AND source_id IS NOT NULL AND obs_id IS NOT NULL AND band IS NOT NULL) SELECT band, count(*) AS n, printf('%.5e', avg(p)) AS mean_diff, printf('%.5e', stddev_samp(p)) AS std_diff FROM j GROUP BY band")
 def compare_curves(spark, d):
     """Delivered fluxes against those that follow from the delivered magnitudes."""
-    return _compared(lc(spark, d).where(F.col("flux").between(1, 1e6) & F.col("mag_ab").between(5, 30)))
+    return compare_curves_all(spark, d).withColumns({c: F.format_string("%.5e", c) for c in ("mean_diff", "std_diff")})
 
 
 @query()
@@ -406,8 +457,7 @@ def _compared(m):
     m = m.groupBy("source_id", "obs_id", "band").agg(F.min("flux").alias("flux"), F.min("mag_ab").alias("mag"))
     on = ["source_id", "obs_id", "band"]
     other = m.select(*on, F.pow(F.lit(10.0), (F.lit(23.9) - F.col("mag")) / 2.5).alias("flux"))
-    c = lightcurves.compare(m, other, on)
-    return c.select("band", "n", F.round("mean_diff", 4).alias("mean_diff"), F.round("std_diff", 4).alias("std_diff"))
+    return lightcurves.compare(m, other, on)
 
 
 # -- pixels ---------------------------------------------------------------------------------
@@ -531,15 +581,19 @@ def aperture_radius(spark, d):
 _COS = "(sin(radians(decl)) * sin(radians(66.0::double)) + cos(radians(decl)) * cos(radians(66.0::double)) * cos(radians(ra - 268.0::double)))"
 
 
-@query(f"""SELECT source_id, round(degrees(cos(radians(decl)) * sin(radians(ra - 268.0::double)) / {_COS}) / -(6.2::double / 3600) + 1019.5::double, 4) AS pix_x,
-  round(degrees((sin(radians(decl)) * cos(radians(66.0::double)) - cos(radians(decl)) * sin(radians(66.0::double)) * cos(radians(ra - 268.0::double))) / {_COS}) / (6.2::double / 3600) + 1019.5::double, 4) AS pix_y
-FROM sky_source WHERE {_COS} > 0.2""")
+def _gnomonic(x: str) -> str:
+    """A gnomonic coordinate in pixels, null behind the plane."""
+    return f"CASE WHEN {_COS} > 0 THEN printf('%.6e', degrees({x} / {_COS}) / (6.2::double / 3600) + 1019.5::double) END"
+
+
+@query(f"""SELECT source_id, {_gnomonic('-cos(radians(decl)) * sin(radians(ra - 268.0::double))')} AS pix_x,
+  {_gnomonic('(sin(radians(decl)) * cos(radians(66.0::double)) - cos(radians(decl)) * sin(radians(66.0::double)) * cos(radians(ra - 268.0::double)))')} AS pix_y FROM sky_source""")
 def wcs_world_to_pixel(spark, d):
-    """Gnomonic pixel positions, of sources not too far from the frame's centre."""
+    """Gnomonic pixel positions; sources in the other half of the sky have none."""
     s = A.sources(spark, d)
-    near = F.sin(F.radians("dec")) * math.sin(math.radians(66.0)) + F.cos(F.radians("dec")) * math.cos(math.radians(66.0)) * F.cos(F.radians(F.col("ra") - 268.0))
+    ahead = F.sin(F.radians("dec")) * math.sin(math.radians(66.0)) + F.cos(F.radians("dec")) * math.cos(math.radians(66.0)) * F.cos(F.radians(F.col("ra") - 268.0)) > 0
     x, y = S.tangent_pixel(F.col("ra"), F.col("dec"), 268.0, 66.0, 6.2, (1020.5, 1020.5))
-    return s.where(near > 0.2).select("source_id", F.round(x, 4).alias("pix_x"), F.round(y, 4).alias("pix_y"))
+    return s.select("source_id", *[F.when(ahead, F.format_string("%.6e", v)).alias(n) for v, n in ((x, "pix_x"), (y, "pix_y"))])
 
 
 @query()

@@ -143,3 +143,24 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, Path("skyloom") / p.relative_to(root))
     sc.addPyFile(str(at))
     sc._skyloom_shipped = True
+
+
+def write_text(spark: SparkSession, uri: str, text: str) -> None:
+    fs, path = hadoop(spark, uri)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, uri: str) -> str | None:
+    """The content of a file, None without one."""
+    fs, path = hadoop(spark, uri)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -20,6 +20,7 @@ from skyloom.operators import apertures
 from skyloom.operators.pixels import RELAXED, STRICT, annulus_plan
 from skyloom.plans.config import PhotometryConfig
 from skyloom.sources import fits
+from skyloom.session import checkpointed
 from skyloom.sources.wcs import Celestial, Spectral
 
 PLANES = ("IMAGE", "FLAGS", "VARIANCE", "ZODI", "PSF")
@@ -68,6 +69,16 @@ class Mef:
     detector: int
     mjd: float
 
+    def calibrated(self, cfg: PhotometryConfig) -> tuple[np.ndarray, np.ndarray]:
+        """Image without zodiacal light and repaired variance, computed once for all sources."""
+        how = (cfg.subtract_zodi, cfg.zodi_scale_min, cfg.zodi_scale_max)
+        if getattr(self, "_ready", (None,))[0] != how:
+            variance, image = repaired_variance(self.variance, self.flags), self.image
+            if cfg.subtract_zodi:
+                image = image - zodi_scale(image, self.zodi, self.flags, variance, cfg.zodi_scale_min, cfg.zodi_scale_max) * self.zodi
+            self._ready = how, image, variance
+        return self._ready[1:]
+
     def psf_zones(self) -> dict[int, tuple[float, float]]:
         """zone -> centre (1-based) from the PSF header, in its order; incomplete pairs left out."""
         h = self.psf_header
@@ -202,12 +213,32 @@ def background(image, flags, x, y, radius, cfg: PhotometryConfig) -> tuple[float
     return level, sd / math.sqrt(n), n
 
 
+# The flag of pixels that a partial cutout fills: one that neither mask lets through.
+MISSING = S.flag_mask((S.FLAG_BITS["MISSING_DATA"],))
+OUTSIDE = "near or outside the edge"
+
+
 def measure(mef: Mef, ra: float, dec: float, cfg: PhotometryConfig) -> dict:
     """One source on one decoded file. A ``problem`` says why there is no usable flux."""
+    x, y = (float(v) for v in mef.celestial.to_pixel(ra, dec))
+    return measure_at(mef, x, y, cfg)
+
+
+def measure_all(mef: Mef, ra: np.ndarray, dec: np.ndarray, cfg: PhotometryConfig, outside: bool = True):
+    """(index, measurement) of sources on one file; those surely off it only if ``outside``."""
+    x, y = mef.celestial.to_pixel(ra, dec)
+    ny, nx = mef.image.shape
+    with np.errstate(invalid="ignore"):
+        on = (x >= 0) & (x < nx) & (y >= 0) & (y < ny)
+    for i in range(len(x)) if outside else np.flatnonzero(on):
+        yield int(i), measure_at(mef, float(x[i]), float(y[i]), cfg)
+
+
+def measure_at(mef: Mef, x: float, y: float, cfg: PhotometryConfig) -> dict:
+    """``measure`` at a pixel position."""
     out: dict = {"obs_id": mef.obs_id, "mjd": mef.mjd, "band": f"D{mef.detector}" if 1 <= mef.detector <= 6 else "Unknown"}
     try:
-        variance = repaired_variance(mef.variance, mef.flags)
-        x, y = (float(v) for v in mef.celestial.to_pixel(ra, dec))
+        image, variance = mef.calibrated(cfg)
         out |= {"pix_x": x, "pix_y": y}
         ny, nx = mef.image.shape
         scale = mef.celestial.pixel_scale() or cfg.pixel_scale_fallback
@@ -218,12 +249,9 @@ def measure(mef: Mef, ra: float, dec: float, cfg: PhotometryConfig) -> dict:
                 radius = width / scale * cfg.fwhm_multiplier / 2
         edge = max(radius, cfg.max_outer_radius)
         if not (edge <= x < nx - edge and edge <= y < ny - edge):
-            return out | {"problem": "near or outside the edge"}
+            return out | {"problem": OUTSIDE}
         wavelength, bandwidth = mef.spectral.at(x, y) if mef.spectral else (math.nan, math.nan)
         out |= {"wavelength": wavelength, "bandwidth": bandwidth}
-        image = mef.image
-        if cfg.subtract_zodi:
-            image = image - zodi_scale(image, mef.zodi, mef.flags, variance, cfg.zodi_scale_min, cfg.zodi_scale_max) * mef.zodi
         level, error, n = background(image, mef.flags, x, y, radius, cfg)
         if n == 0:
             return out | {"problem": "no background pixels"}
@@ -247,29 +275,50 @@ def read_files(spark: SparkSession, directory: str, pattern: str = "*.fits") ->
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.fits") -> DataFrame:
-    """path, length of the files below a folder, without reading them; empty if it is missing."""
+    """path, length of the files below a folder, by path, without reading them; empty if it is missing."""
     from skyloom.session import hadoop
 
     fs, at = hadoop(spark, directory)
     if not fs.exists(at):
         return spark.createDataFrame([], "path string, length bigint")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory).select("path", "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory).select("path", "length").orderBy("path")
+
 
+def footprints(files: DataFrame) -> DataFrame:
+    """path, poly (its four corners, half a degree wider) of each readable file (path, content)."""
 
-def photometry(files: DataFrame, sources: DataFrame, cfg: PhotometryConfig | None = None, *, keep_problems: bool = False, most_sources: int = 100_000) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                try:
+                    m = decode(b.column(1)[i].as_py(), b.column(0)[i].as_py())
+                except (ValueError, KeyError):
+                    continue
+                ny, nx = m.image.shape
+                pad = 0.5 * 3600 / (m.celestial.pixel_scale() or 1.0)
+                ra, dec = m.celestial.to_world(np.array([-pad, nx + pad, nx + pad, -pad]), np.array([-pad, -pad, ny + pad, ny + pad]))
+                yield pa.RecordBatch.from_pylist([{"path": b.column(0)[i].as_py(), "poly": [{"ra": float(x), "dec": float(y)} for x, y in zip(ra, dec)]}], schema=pa.schema([("path", pa.string()), ("poly", pa.list_(pa.struct([("ra", pa.float64()), ("dec", pa.float64())])))]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, poly array<struct<ra:double,dec:double>>")
+
+
+def photometry(files: DataFrame, sources: DataFrame, cfg: PhotometryConfig | None = None, *, keep_problems: bool = False, together: int = 10_000) -> DataFrame:
     """``MEASUREMENT`` rows of every source on every file (path, content).
 
-    ``sources`` needs source_id, ra, dec. Up to ``most_sources`` of them (checked) go
-    along with each file's task; for more, pair files and sources through
-    ``archive.spatial_join`` first and call this per sky cell. Files that can't be
-    read, and measurements with a problem, are dropped unless ``keep_problems``.
-    Null positions are left out.
+    ``sources`` needs source_id, ra, dec. Up to ``together`` of them (counted) go along with
+    each file's task. More are paired with the files whose footprints hold them
+    (``archive.spatial_join``) and reach a file in portions of about ``together``, each of which
+    reads the file again. A file is calibrated once for all sources of a portion. Files that
+    can't be read, and measurements with a problem, are dropped unless ``keep_problems``; of
+    paired sources those off the frame aren't listed. Null positions are left out.
     """
     cfg = cfg or PhotometryConfig()
-    wanted = [(r["source_id"], r["ra"], r["dec"]) for r in sources.where("ra IS NOT NULL AND dec IS NOT NULL").select("source_id", "ra", "dec").limit(most_sources + 1).collect()]
-    if len(wanted) > most_sources:
-        raise ValueError(f"more than {most_sources} sources at once")
     how = asdict(cfg)
+    placed = sources.where("ra IS NOT NULL AND dec IS NOT NULL").select("source_id", F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"))
+    wanted = placed.limit(together + 1).collect()
+    given = None if len(wanted) > together else tuple(np.array([r[c] for r in wanted], t) for c, t in (("source_id", object), ("ra", float), ("dec", float)))
 
     def run(batches):
         import pyarrow as pa
@@ -279,14 +328,23 @@ def photometry(files: DataFrame, sources: DataFrame, cfg: PhotometryConfig | Non
         for b in batches:
             for i in range(b.num_rows):  # files are large: one at a time
                 path = b.column(0)[i].as_py()
+                ids, ra, dec = given or tuple(np.array([s[k] for s in b.column(2)[i].as_py()], t) for k, t in (("source_id", object), ("ra", float), ("dec", float)))
                 try:
                     m = decode(b.column(1)[i].as_py(), path)
-                    rows = [{"source_id": s, "path": path} | measure(m, ra, dec, c) for s, ra, dec in wanted]
+                    rows = [{"source_id": ids[k], "path": path} | r for k, r in measure_all(m, ra, dec, c, keep_problems and given is not None)]
                 except (ValueError, KeyError) as e:
                     rows = [{"path": path, "problem": f"unreadable: {e}"}]
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], kinds[f.dataType]) for f in MEASUREMENT.fields], names=MEASUREMENT.names)
 
-    m = files.select("path", "content").mapInArrow(run, MEASUREMENT)
+    todo = files.select("path", "content")
+    if given is None:
+        from skyloom.operators.archive import spatial_join
+
+        pairs = checkpointed(spatial_join(placed, footprints(todo)).drop("poly"))
+        portions = pairs.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("n"))
+        lists = pairs.join(portions, "path").groupBy("path", F.pmod(F.xxhash64("source_id", "ra", "dec"), F.col("n")).alias("part")).agg(F.collect_list(F.struct("source_id", "ra", "dec")).alias("s"))
+        todo = todo.join(lists, "path").select("path", "content", "s")
+    m = todo.mapInArrow(run, MEASUREMENT)
     return m if keep_problems else m.where(F.col("problem").isNull())
 
 
@@ -294,7 +352,7 @@ def cutout(mef: Mef, x: float, y: float, size: int | tuple[int, int], mode: str
     """A part of a file around a pixel with its coordinates moved along; the PSF stays whole.
 
     mode: ``trim`` keeps what lies on the image, ``strict`` raises ValueError if part
-    of the box doesn't, ``partial`` fills that with NaN (flags 0).
+    of the box doesn't, ``partial`` fills that with NaN and sets the flag ``MISSING`` there.
     """
     h, w = (size, size) if isinstance(size, int) else size
     ny, nx = mef.image.shape
@@ -319,4 +377,4 @@ def cutout(mef: Mef, x: float, y: float, size: int | tuple[int, int], mode: str
         p1, d1, v1, p2, d2, v2 = spectral.scale
         spectral = Spectral(spectral.x, spectral.y, spectral.values, (p1 - ox, d1, v1, p2 - oy, d2, v2))
     header = mef.header | {"CRPIX1A": float(mef.header.get("CRPIX1A", 0.0)) - ox, "CRPIX2A": float(mef.header.get("CRPIX2A", 0.0)) - oy}
-    return Mef(part(mef.image, np.nan), part(mef.flags, 0), part(mef.variance, np.nan), part(mef.zodi, np.nan), mef.psf, header, mef.psf_header, Celestial(c.crpix - [ox, oy], c.crval, c.cd, c.a, c.b), spectral, mef.obs_id, mef.detector, mef.mjd)
+    return Mef(part(mef.image, np.nan), part(mef.flags, MISSING), part(mef.variance, np.nan), part(mef.zodi, np.nan), mef.psf, header, mef.psf_header, Celestial(c.crpix - [ox, oy], c.crval, c.cd, c.a, c.b), spectral, mef.obs_id, mef.detector, mef.mjd)

@@ -1,3 +1,4 @@
+from skyloom.sources import mef
 import math
 
 import numpy as np
@@ -133,3 +134,37 @@ def test_files_to_measurements(spark, tmp_path):
     every = mef.photometry(files, sources, keep_problems=True).collect()
     assert len(every) == 7 and sum("unreadable" in (r["problem"] or "") for r in every) == 1
     assert mef.list_files(spark, str(tmp_path)).count() == 4 and mef.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_sources_on_a_large_frame_are_fast():
+    """What a file needs is done once, and sources off the frame cost next to nothing."""
+    import time
+
+    small = mef.decode(images.mef())
+    n = 2040
+    rng = np.random.default_rng(0)
+    big = mef.Mef(1 + rng.random((n, n)), np.zeros((n, n), np.int64), np.full((n, n), 0.01), np.full((n, n), 0.5), small.psf, small.header, small.psf_header, small.celestial, small.spectral, "o", 3, 61000.0)
+    x, y = rng.uniform(100, n - 100, 1000), rng.uniform(100, n - 100, 1000)
+    ra, dec = big.celestial.to_world(x, y)
+    far = np.r_[ra, rng.uniform(0, 360, 50_000)], np.r_[dec, rng.uniform(-90, -30, 50_000)]
+    t = time.perf_counter()
+    got = dict(mef.measure_all(big, *far, PhotometryConfig(), outside=False))
+    assert time.perf_counter() - t < 20 and set(range(1000)) <= set(got)
+    assert sum("flux" in r for r in got.values()) >= 1000
+
+
+def test_partial_cutouts_can_be_measured():
+    m = mef.decode(images.mef())
+    part = mef.cutout(m, 30.0, 29.0, 2 * max(m.image.shape), "partial")
+    assert np.isnan(part.image).any() and (part.flags[np.isnan(part.variance)] != 0).all()
+    ra, dec = (float(v) for v in m.celestial.to_world(30.0, 29.0))
+    got = mef.measure(part, ra, dec, PhotometryConfig(subtract_zodi=False))
+    assert "problem" not in got and got["flux"] == pytest.approx(mef.measure(m, ra, dec, PhotometryConfig(subtract_zodi=False))["flux"], rel=1e-6)
+
+
+def test_paired_sources_equal_those_sent_along(spark):
+    ra, dec = (float(v) for v in mef.decode(images.mef()).celestial.to_world(30.0, 29.0))
+    sources = spark.createDataFrame([(i, ra + 1e-5 * i, dec) for i in range(12)] + [(99, (ra + 180) % 360, -dec), (100, None, dec)], "source_id long, ra double, dec double")
+    files = spark.createDataFrame([(f"f{i}.fits", images.mef(obs=f"o{i}")) for i in range(2)] + [("bad.fits", b"x")], "path string, content binary")
+    a, b = (sorted(map(tuple, mef.photometry(files, sources, together=k).drop("problem").collect()), key=repr) for k in (1000, 5))
+    assert len(a) == 24 and a == b

@@ -52,6 +52,27 @@ def test_whole_run_and_resume(spark, archive_dir, tmp_path):
     assert again.completed == p.completed and "to do: none" in again.status()
 
 
+def test_settings_reach_the_classes(spark, archive_dir, tmp_path):
+    """The threshold and the bad flags of the settings decide on classes; the time of the query stays."""
+    (ra, dec), cat = catalogue(spark, archive_dir)
+
+    def opener(url, cfg):
+        return fetch.open_url(url.replace(S.ARCHIVE, f"file://{archive_dir}/"), cfg)
+
+    classes = {}
+    for sigma in (3.0, 1e9):
+        cfg = AdvancedConfig.create(ra, dec, output_dir=tmp_path / str(sigma), max_retries=0, retry_delay=0, sigma_threshold=sigma)
+        p = Pipeline(spark, cfg, cat, opener=opener)
+        p.run_query()
+        asked = yaml.safe_load((tmp_path / str(sigma) / "results" / "query_summary.yaml").read_text())["query_time"]
+        p.run()
+        assert yaml.safe_load((tmp_path / str(sigma) / "results" / "query_summary.yaml").read_text())["query_time"] == asked
+        classes[sigma] = {r["class"] for r in p.table("time_series").collect()}
+        assert {r["quality_class"].split("_")[0] for r in p.table("spectrum_series").collect()} == classes[sigma]
+        assert sorted(r["seq"] for r in p.table("time_series").collect()) == [1, 2, 3]
+    assert classes == {3.0: {"good"}, 1e9: {"rejected"}}
+
+
 def test_no_observations(spark, archive_dir, tmp_path):
     _, cat = catalogue(spark, archive_dir)
     p = run_pipeline(spark, cat, 10.0, -60.0, output_dir=tmp_path, aperture_diameter=2.0)

@@ -197,3 +197,14 @@ def test_places_of_a_group_with_one_time(spark):
     got = lightcurves.time_order(df, ["source_id", "band"]).collect()
     mine = sorted((r for r in got if r["source_id"] == 1), key=lambda r: (r["mjd"] is not None, r["mjd"] or 0, r["obs_id"], r["meas_id"]))
     assert [r["seq"] for r in mine] == list(range(1, 2601)) and sorted(r["seq"] for r in got if r["source_id"] == 2) == [1, 2, 3]
+
+
+def test_footprints_over_right_ascension_zero(spark):
+    """They are split into few cells, and polygons of more than four corners are tested as well."""
+    boxes = [(0, [(355.0, -5.0), (5.0, -5.0), (5.0, 5.0), (355.0, 5.0)]), (1, [(350.0, 20.0), (0.0, 18.0), (10.0, 20.0), (12.0, 30.0), (0.0, 34.0), (349.0, 30.0)]), (2, [(10.0, 80.0), (130.0, 80.0), (250.0, 80.0)])]
+    planes = spark.createDataFrame(boxes, "k long, poly array<struct<ra:double,dec:double>>")
+    cells = {r["k"]: r["n"] for r in planes.select("k", F.size(archive.covering_cells(F.col("poly"), 5.0)).alias("n")).collect()}
+    assert cells[0] <= 12 and cells[1] <= 30 and cells[2] == 72 * 36
+    points = [(0, 359.0, 0.0), (1, 1.0, 4.0), (2, 6.0, 0.0), (3, 0.0, 33.0), (4, 355.0, 25.0), (5, 180.0, 0.0), (6, 300.0, 89.0), (7, 0.0, 40.0), (8, None, 1.0), (9, 361.0, 1.0)]
+    got = {tuple(r) for r in archive.spatial_join(spark.createDataFrame(points, "p long, ra double, dec double"), planes).select("p", "k").collect()}
+    assert got == {(0, 0), (1, 0), (9, 0), (3, 1), (4, 1), (6, 2)}
