@@ -11,6 +11,11 @@ from skyloom.functions import scalars as S
 from skyloom.operators.lightcurves import time_order
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit_vector(ra: Column, dec: Column) -> list[Column]:
     a, d = F.radians(ra), F.radians(dec)
     return [F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d)]
@@ -32,11 +37,14 @@ def _point(ra: Column, dec: Column) -> Column:
 
 def _edges(poly: Column) -> Column:
     """What the test needs of a polygon: number of corners, normals of its edges, sum of its corners."""
-    corners = F.transform(poly, lambda v: _point(v["ra"], v["dec"]))
-    following = F.concat(F.slice(corners, 2, F.greatest(F.size(corners) - 1, F.lit(1))), F.slice(corners, 1, 1))
     cross = lambda a, b: F.struct((a["y"] * b["z"] - a["z"] * b["y"]).alias("x"), (a["z"] * b["x"] - a["x"] * b["z"]).alias("y"), (a["x"] * b["y"] - a["y"] * b["x"]).alias("z"))
-    total = lambda n: F.aggregate(corners, F.lit(0.0), lambda acc, v: acc + v[n]).alias(n)
-    return F.struct(F.size(corners).alias("n"), F.zip_with(corners, following, cross).alias("normals"), *[total(n) for n in "xyz"])
+
+    def edges(c: Column) -> Column:
+        following = F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, 1))
+        total = lambda n: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v[n]).alias(n)
+        return F.struct(F.size(c).alias("n"), F.zip_with(c, following, cross).alias("normals"), *[total(n) for n in "xyz"])
+
+    return _let(F.transform(poly, lambda v: _point(v["ra"], v["dec"])), edges)
 
 
 def _inside(p: Column, q: Column) -> Column:
@@ -60,23 +68,34 @@ def covering_cells(poly: Column, size: float) -> Column:
     its edges; all cells for polygons wider than 160 degrees, which includes those around a
     pole. Those over right ascension 0 are taken as lying around 360."""
     n, last = int(round(360 / size)), int(round(180 / size)) - 1
-    plain, decs = F.transform(poly, lambda v: F.pmod(v["ra"], F.lit(360.0))), F.transform(poly, lambda v: v["dec"])
-    around = F.transform(plain, lambda v: F.when(v < 180, v + 360).otherwise(v))
-    over = (F.array_max(plain) - F.array_min(plain) > 160) & (F.array_max(around) - F.array_min(around) <= 160)
-    ras = F.when(over, around).otherwise(plain)
-    west, east, south, north = F.array_min(ras), F.array_max(ras), F.array_min(decs), F.array_max(decs)
-    half = (east - west) / 2
-    steep = F.greatest(F.abs(south), F.abs(north))
-    # Great circles between corners bulge towards the pole, by at most this.
-    bulge = F.degrees(F.atan(F.tan(F.radians(steep)) / F.cos(F.radians(half)))) - steep
-    # Corners within less than half a turn can't surround a pole, and edges stay between their meridians.
-    polar = half > 80
-    lo = F.when(polar, F.lit(0)).otherwise(F.greatest(F.floor((south - bulge + 90) / size), F.lit(0)))
-    hi = F.when(polar, F.lit(last)).otherwise(F.least(F.floor((north + bulge + 90) / size), F.lit(last)))
-    a = F.when(polar, F.lit(0)).otherwise(F.floor(west / size))
-    b = F.when(polar, F.lit(n - 1)).otherwise(F.floor(east / size))
-    rows, cols = F.sequence(lo.cast("int"), hi.cast("int")), F.sequence(a.cast("int"), b.cast("int"))
-    return F.flatten(F.transform(rows, lambda j: F.transform(cols, lambda i: F.struct(F.pmod(i, F.lit(n)).alias("i"), j.alias("j")))))
+    wide = lambda v: F.array_max(v) - F.array_min(v)
+
+    def place(plain: Column) -> Column:
+        around = F.transform(plain, lambda v: F.when(v < 180, v + 360).otherwise(v))
+        return _let(around, lambda w: F.when((wide(plain) > 160) & (wide(w) <= 160), w).otherwise(plain))
+
+    def bounds(ras: Column) -> Column:
+        decs = F.transform(poly, lambda v: v["dec"])
+        return F.struct(F.array_min(ras).alias("west"), F.array_max(ras).alias("east"), F.array_min(decs).alias("south"), F.array_max(decs).alias("north"))
+
+    def ranges(b: Column) -> Column:
+        half = (b["east"] - b["west"]) / 2
+        steep = F.greatest(F.abs(b["south"]), F.abs(b["north"]))
+        # Great circles between corners bulge towards the pole, by at most this.
+        bulge = F.degrees(F.atan(F.tan(F.radians(steep)) / F.cos(F.radians(half)))) - steep
+        # Corners within less than half a turn can't surround a pole, and edges stay between their meridians.
+        polar = half > 80
+        lo = F.when(polar, F.lit(0)).otherwise(F.greatest(F.floor((b["south"] - bulge + 90) / size), F.lit(0)))
+        hi = F.when(polar, F.lit(last)).otherwise(F.least(F.floor((b["north"] + bulge + 90) / size), F.lit(last)))
+        first = F.when(polar, F.lit(0)).otherwise(F.floor(b["west"] / size))
+        final = F.when(polar, F.lit(n - 1)).otherwise(F.floor(b["east"] / size))
+        return F.struct(F.sequence(lo.cast("int"), hi.cast("int")).alias("rows"), F.sequence(first.cast("int"), final.cast("int")).alias("cols"))
+
+    def cells(r: Column) -> Column:
+        return F.flatten(F.transform(r["rows"], lambda j: F.transform(r["cols"], lambda i: F.struct(F.pmod(i, F.lit(n)).alias("i"), j.alias("j")))))
+
+    ra = F.transform(poly, lambda v: F.pmod(v["ra"], F.lit(360.0)))
+    return _let(_let(_let(_let(ra, place), bounds), ranges), cells)
 
 
 def spatial_join(points: DataFrame, planes: DataFrame, *, ra: str = "ra", dec: str = "dec", poly: str = "poly", cell: float = 5.0) -> DataFrame:

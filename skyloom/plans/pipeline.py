@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import scalars as S
 from skyloom.operators import archive, lightcurves
 from skyloom.plans.config import NEEDS, AdvancedConfig
-from skyloom.session import local_path, read_text, ship_package, write_text
+from skyloom.session import clear_runs, local_path, read_text, runs_made, ship_package, write_text
 from skyloom.sources import curves, fetch, mef
 
 
@@ -160,7 +160,9 @@ class Pipeline:
         steps: dict[str, Any] = {"query": self.run_query, "download": lambda: self.run_download(skip_existing), "processing": self.run_processing, "visualization": self.run_visualization}
         for s in self.stages:
             if s in steps and s not in self.completed:
+                before = runs_made()
                 steps[s]()
+                clear_runs(self.spark, before)  # what a stage returns is read from its own tables
 
     def resume(self, skip_existing: bool = True) -> None:
         """What the manifest doesn't list as completed."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,13 +360,13 @@ def histogram20_snr_p95(spark, d):
     return lightcurves.histogram(lc(spark, d).where(F.col("flux_error") > 0), ["band"], "snr", upto=0.95)
 
 
-@query()
+@query(_HIST.format(c="wavelength", where="true"))
 def histogram20_wavelength_all(spark, d):
     """Over all finite wavelengths."""
     return lightcurves.histogram(lc(spark, d), ["band"], "wavelength")
 
 
-@query()
+@query(_HIST.format(c="snr", where="flux_error > 0"))
 def histogram20_snr_all(spark, d):
     """Over all finite ratios of readings whose error is positive."""
     return lightcurves.histogram(lc(spark, d).where(F.col("flux_error") > 0), ["band"], "snr")
@@ -596,7 +595,31 @@ def wcs_world_to_pixel(spark, d):
     return s.select("source_id", *[F.when(ahead, F.format_string("%.6e", v)).alias(n) for v, n in ((x, "pix_x"), (y, "pix_y"))])
 
 
-@query()
+def _overlap_table(r: float, size: int = 8) -> str:
+    """VALUES of y, x and the pixel's area inside the circle, by integrating chords from kink to kink."""
+
+    def under_arc(x: float) -> float:
+        x = min(max(x, -r), r)
+        return (x * math.sqrt(r * r - x * x) + r * r * math.asin(x / r)) / 2
+
+    rows = []
+    for y in range(size):
+        for x in range(size):
+            left, low = x - X0 - 0.5, y - Y0 - 0.5
+            high = low + 1
+            kinks = {left, left + 1} | {s * math.sqrt(r * r - v * v) for v in (0.0, low, high) if abs(v) < r for s in (-1, 1)}
+            cuts = sorted(k for k in kinks if left <= k <= left + 1)
+            total = 0.0
+            for u, v in zip(cuts, cuts[1:]):
+                half = math.sqrt(max(r * r - (u + v) ** 2 / 4, 0.0))
+                if min(half, high) > max(-half, low):
+                    arc = under_arc(v) - under_arc(u)
+                    total += (arc if half < high else high * (v - u)) + (arc if -half > low else -low * (v - u))
+            rows.append(f"({y}, {x}, {total!r}::double)")
+    return f"o(y, x, w) AS (VALUES {', '.join(rows)})"
+
+
+@query(f"WITH {PX}, {_overlap_table(2.0)} SELECT img, printf('%.5e', sum(w * image)) AS raw_flux, printf('%.5e', sqrt(sum(w * variance))) AS raw_error FROM px JOIN o USING (y, x) GROUP BY img")
 def aperture_exact(spark, d):
     """Aperture sums with exact circle-pixel overlaps."""
     from skyloom.operators import apertures
@@ -608,7 +631,7 @@ def aperture_exact(spark, d):
         return pd.Series(apertures.overlap(x - X0, y - Y0, 2.0))
 
     px = A.pixels(spark, d).withColumn("w", weight("x", "y"))
-    return pixels.aperture_sum(px, X0, Y0, 2.0, F.col("w"))
+    return pixels.aperture_sum(px, X0, Y0, 2.0, F.col("w")).select("img", *[F.format_string("%.5e", c).alias(c) for c in ("raw_flux", "raw_error")])
 
 
 @query()

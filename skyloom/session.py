@@ -60,10 +60,17 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return at
 
 
-def clear_runs(spark: SparkSession) -> int:
-    """Delete the folders made by ``run_dir`` so far; results that read them must be done with."""
+def runs_made() -> int:
+    return len(_RUNS)
+
+
+def clear_runs(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders made by ``run_dir`` so far, or ``since`` there were so many (``runs_made``).
+
+    Results that read them must be done with.
+    """
     n = 0
-    while _RUNS:
+    while len(_RUNS) > since:
         fs, path = hadoop(spark, _RUNS.pop())
         n += fs.delete(path, True)
     return n
