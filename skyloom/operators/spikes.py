@@ -271,7 +271,7 @@ def _judge_table(t: pa.Table, how: dict, trace: bool = False):
         s = _Series(seg)
         spread, usual = (np.fmax.reduceat(r[k], s.start)[s.id] for k in ("spread", "usual"))
         with np.errstate(invalid="ignore"):
-            e = np.where(np.isfinite(lost_e) & (lost_e > 0) & (lost_e < how.get("error_times", 8.0) * usual), lost_e, usual)
+            e = np.where(np.isfinite(lost_e) & (lost_e > 0) & ~(lost_e >= how.get("error_times", 8.0) * usual), lost_e, usual)
             r["impossible"] |= loose & (lost < -how.get("below", 6.0) * np.fmax(e, spread))
     if trace:
         hit = core & np.isfinite(flux)
