@@ -126,14 +126,16 @@ def clipped(m: DataFrame, keys: list[str], *, sigma: float = 3.0, maxiters: int
 
 
 def plot_limits(df: DataFrame, keys: list[str], value: str, *, low: float = 0.001, high: float = 0.999, padding: float = 0.1) -> DataFrame:
-    """keys..., y_min, y_max: percentiles with padding; flat values get ±10 % or ±0.1."""
+    """keys..., y_min, y_max: percentiles with padding; flat values get ±10 % or ±0.1, groups without values 0 to 1."""
     q = exact_quantiles(df, keys, value, {"a": low, "b": high})
+    if keys:
+        q = _null_safe(df.select(*keys).distinct(), q, keys, "left")
     a, b = F.col("a"), F.col("b")
     wide = b > a
     return q.select(
         *keys,
-        F.when(wide, a - (b - a) * padding).when(a != 0, a * 0.9).otherwise(-0.1).alias("y_min"),
-        F.when(wide, b + (b - a) * padding).when(a != 0, b * 1.1).otherwise(0.1).alias("y_max"),
+        F.when(a.isNull(), 0.0).when(wide, a - (b - a) * padding).when(a != 0, a * 0.9).otherwise(-0.1).alias("y_min"),
+        F.when(a.isNull(), 1.0).when(wide, b + (b - a) * padding).when(a != 0, b * 1.1).otherwise(0.1).alias("y_max"),
     )
 
 

@@ -146,7 +146,7 @@ def test_classes(spark):
 def test_limits_of_flat_and_empty(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("z", 0.0), ("n", math.nan)], "g string, y double")
     got = {r["g"]: (r["y_min"], r["y_max"]) for r in lightcurves.plot_limits(df, ["g"], "y").collect()}
-    assert got == {"a": (pytest.approx(1.8), pytest.approx(2.2)), "z": (-0.1, 0.1)}
+    assert got == {"a": (pytest.approx(1.8), pytest.approx(2.2)), "z": (-0.1, 0.1), "n": (0.0, 1.0)}  # as surveyed for no values
 
 
 @pytest.mark.parametrize("method", ["annulus", "window"])
@@ -208,3 +208,9 @@ def test_footprints_over_right_ascension_zero(spark):
     points = [(0, 359.0, 0.0), (1, 1.0, 4.0), (2, 6.0, 0.0), (3, 0.0, 33.0), (4, 355.0, 25.0), (5, 180.0, 0.0), (6, 300.0, 89.0), (7, 0.0, 40.0), (8, None, 1.0), (9, 361.0, 1.0)]
     got = {tuple(r) for r in archive.spatial_join(spark.createDataFrame(points, "p long, ra double, dec double"), planes).select("p", "k").collect()}
     assert got == {(0, 0), (1, 0), (9, 0), (3, 1), (4, 1), (6, 2)}
+
+
+def test_limits_of_groups_without_values(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (2, float("nan")), (None, 0.0)], "k long, v double")
+    got = {r["k"]: (r["y_min"], r["y_max"]) for r in lightcurves.plot_limits(df, ["k"], "v").collect()}
+    assert got == {1: (4.5, 5.5), 2: (0.0, 1.0), None: (-0.1, 0.1)}
