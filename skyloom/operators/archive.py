@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import scalars as S
-from skyloom.operators.lightcurves import time_order
+from skyloom.operators import sightings
 
 
 def _let(value: Column, body) -> Column:
@@ -112,33 +112,35 @@ def spatial_join(points: DataFrame, planes: DataFrame, *, ra: str = "ra", dec: s
     return p.join(q, "_cell").where(_inside(F.col("_point"), F.col("_edges"))).drop("_cell", "_point", "_edges")
 
 
-def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tuple[str, ...] | None = None, ordered: bool = False) -> DataFrame:
+def search(sources: DataFrame, artifact: DataFrame, plane: DataFrame, bands: tuple[str, ...] | None = None, ordered: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Observations of each source: catalogue join, containment, bands, derived columns.
 
     Rows whose publisher id has no observation id are dropped. ordered: with seq, the place
-    in the source's order of start time.
+    in the source's order of start time. columns: only these, and seq.
     """
     if bands:
         plane = plane.where(F.col("energy_bandpassname").isin(*[S.BANDPASS + b for b in bands]))
-    hit = spatial_join(sources.select("source_id", "ra", "dec"), plane)
     lo, hi = F.col("time_bounds_lower"), F.col("time_bounds_upper")
-    found = (
-        hit.join(artifact, "planeid")
-        .withColumn("obs_id", S.obs_id_of(F.col("obs_publisher_did")))
-        .where(F.col("obs_id").isNotNull())
-        .select(
-            "source_id",
-            "obs_id",
-            S.band_of(F.col("energy_bandpassname")).alias("band"),
-            ((lo + hi) / 2).alias("mjd"),
-            (F.col("energy_bounds_lower") * 1e6).alias("wavelength_min"),
-            (F.col("energy_bounds_upper") * 1e6).alias("wavelength_max"),
-            S.archive_url(F.col("uri")).alias("download_url"),
-            lo.alias("t_min"),
-            hi.alias("t_max"),
-        )
-    )
-    return time_order(found, ["source_id"], ["t_min", "obs_id", "band", "download_url"]) if ordered else found
+    obs_id = S.obs_id_of(F.col("obs_publisher_did"))
+    derived = {
+        "obs_id": obs_id,
+        "band": S.band_of(F.col("energy_bandpassname")),
+        "mjd": (lo + hi) / 2,
+        "wavelength_min": F.col("energy_bounds_lower") * 1e6,
+        "wavelength_max": F.col("energy_bounds_upper") * 1e6,
+        "download_url": S.archive_url(F.col("uri")),
+        "t_min": lo,
+        "t_max": hi,
+    }
+    columns = columns or ["source_id", *derived]
+    shown = {c: derived[c] for c in columns if c != "source_id"}
+    if ordered:
+        of_plane = {c: v for c, v in derived.items() if c != "download_url" and (c in shown or c in sightings.ORDER)}
+        named = plane.select("planeid", *[v.alias(c) for c, v in of_plane.items()], "poly").where(F.col("obs_id").isNotNull())
+        found = sightings.numbered(sources, named, artifact, [c for c in of_plane if c in shown])
+        return found.withColumn("download_url", derived["download_url"]).select(*columns, "seq")
+    hit = spatial_join(sources.select("source_id", "ra", "dec"), plane)
+    return hit.join(artifact, "planeid").where(obs_id.isNotNull()).select(*[shown[c].alias(c) if c in shown else c for c in columns])
 
 
 def band_counts(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -109,8 +109,7 @@ SELECT source_id, obs_id, band, t_min, download_url, row_number() OVER (PARTITIO
 )
 def obs_search_ordered(spark, d):
     """All bands, each source's observations in the order of their start."""
-    found = archive.search(A.sources(spark, d), A.artifacts(spark, d), A.planes(spark, d), ordered=True)
-    return found.select("source_id", "obs_id", "band", "t_min", "download_url", "seq")
+    return archive.search(A.sources(spark, d), A.artifacts(spark, d), A.planes(spark, d), ordered=True, columns=["source_id", "obs_id", "band", "t_min", "download_url"])
 
 
 @query(f"WITH {PLANE} SELECT s.source_id, p.planeid FROM sky_source s JOIN plane p ON {INSIDE}")

@@ -214,3 +214,54 @@ def test_limits_of_groups_without_values(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (2, float("nan")), (None, 0.0)], "k long, v double")
     got = {r["k"]: (r["y_min"], r["y_max"]) for r in lightcurves.plot_limits(df, ["k"], "v").collect()}
     assert got == {1: (4.5, 5.5), 2: (0.0, 1.0), None: (-0.1, 0.1)}
+
+
+def _catalogue(spark, n_sources, n_planes, n_artifacts):
+    sources = spark.range(n_sources).select(F.col("id").alias("source_id"), (F.col("id") * 0.001).alias("ra"), (F.col("id") * -0.002).alias("dec"))
+    poly = F.expr("array(struct(355D AS ra, -5D AS dec), struct(5D AS ra, -5D AS dec), struct(5D AS ra, 5D AS dec), struct(355D AS ra, 5D AS dec))")
+    did = F.concat(F.lit("ivo://x/qr?"), F.col("id").cast("string"), F.lit("/D1"))
+    planes = spark.range(n_planes).select(F.col("id").alias("planeid"), did.alias("obs_publisher_did"), (F.col("id") % 7).cast("double").alias("time_bounds_lower"), F.lit(9.0).alias("time_bounds_upper"), F.lit("S-D1").alias("energy_bandpassname"), F.lit(1.0).alias("energy_bounds_lower"), F.lit(2.0).alias("energy_bounds_upper"), poly.alias("poly"))
+    artifacts = spark.range(n_planes * n_artifacts).select((F.col("id") % n_planes).alias("planeid"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("uri"))
+    return sources, artifacts, planes
+
+
+def test_ordered_search_keeps_only_the_catalogue(spark):
+    """Of 400 sources in 300 footprints of four artifacts, half a million rows, none are written or shuffled before the result."""
+    from pathlib import Path
+
+    from skyloom.session import local_path, shared_dir
+
+    size = lambda: sum(p.stat().st_size for p in Path(local_path(shared_dir(spark))).rglob("*.parquet"))
+    before = size()
+    found = archive.search(*_catalogue(spark, 400, 300, 4), ordered=True)
+    assert found.columns == ["source_id", "obs_id", "band", "mjd", "wavelength_min", "wavelength_max", "download_url", "t_min", "t_max", "seq"]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and size() - before < 200_000
+    got = found.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("d"), F.max("seq").alias("m")).collect()
+    assert len(got) == 400 and {(r["n"], r["d"], r["m"]) for r in got} == {(1200, 1200, 1200)}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"rows": 40, "entries": 16, "lists": 100, "cells": 25_000}])
+def test_ordered_search_of_odd_catalogues(spark, sizes):
+    """Alike planes, one source twice, null ids, uris and times, many artifacts of a plane, footprints of three to six corners, around a pole or over 0."""
+    from skyloom.operators import sightings
+
+    box = lambda ra, dec, w=10.0: [(ra, dec), (ra + w, dec), (ra + w, dec + w), (ra, dec + w)]
+    shapes = [box(355.0, -5.0), box(-5.0, -5.0), box(0.0, 0.0), [(10.0, 80.0), (130.0, 80.0), (250.0, 80.0)], [(350.0, 20.0), (0.0, 18.0), (10.0, 20.0), (12.0, 30.0), (0.0, 34.0), (349.0, 30.0)], box(100.0, 40.0, 30.0), [(1.0, 1.0), (2.0, 2.0)], None, [(0.0, 0.0), (None, 1.0), (3.0, 3.0)]]
+    rows = [(i, None if i % 23 == 0 else float("nan") if i % 29 == 0 else float(i % 6), f"o{i % 40}" if i % 3 else f"u{i}", None if i % 31 == 0 else f"D{i % 2}", shapes[i % 9]) for i in range(180)]
+    planes = spark.createDataFrame(rows, "planeid long, t_min double, obs_id string, band string, poly array<struct<ra:double,dec:double>>")
+    files = [(i % 190, None if i % 41 == 0 else f"f{i * 7919 % 1000}") for i in range(700)] + [(4, f"g{i}") for i in range(3000)] + [(None, "x")]
+    artifacts = spark.createDataFrame(files, "planeid long, uri string")
+    places = [(k, (k * 37.3) % 360, (k * 11.7) % 180 - 90) for k in range(150)] + [(k, 358.0 + k % 5, k % 9 - 4.3) for k in range(200, 260)] + [(3, 1.0, 1.1), (3, 1.2, 1.1), (None, 2.0, 2.1), (None, 359.0, 1.0), (7, None, 1.0), (8, 361.3, 0.2), (9, 1.3, 88.0), (10, 110.0, 71.0)]
+    sources = spark.createDataFrame(places, "source_id long, ra double, dec double")
+    got = sightings.numbered(sources, planes, artifacts, ["band", "obs_id", "t_min"], **sizes).collect()
+    hits = archive.spatial_join(sources, planes).join(artifacts, "planeid").select("source_id", "band", "obs_id", "t_min", "uri").collect()
+    last = lambda v: (v is None, v != v, 0 if v is None or v != v else v)
+    key = lambda r: tuple(last(r[c]) for c in ("t_min", "obs_id", "band", "uri"))
+    want = {}
+    for r in hits:
+        want.setdefault(r["source_id"], []).append(key(r))
+    mine = {}
+    for r in sorted(got, key=lambda r: r["seq"]):
+        mine.setdefault(r["source_id"], []).append((r["seq"], key(r)))
+    assert len(got) == len(hits) > 10_000 and len(want[3]) > 400 and None in want
+    assert mine == {k: list(enumerate(sorted(v), 1)) for k, v in want.items()}
